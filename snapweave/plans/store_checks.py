@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from snapweave.functions.ids import id_key, id_text
+from snapweave.operators.compaction import compact_parquet, plan_block_moves, small_file_blocks
+from snapweave.operators.hierarchy import expand_hierarchy
 from snapweave.operators.references import find_orphans, orphan_summary
-from snapweave.session import read_table
+from snapweave.operators.snapshot_changes import merge_versions
+from snapweave.session import maybe_broadcast, new_path, read_table, written_small
+
+#: Fixed values of the store: the largest pack and the share of it below which a pack is small.
+MAX_PACK, SMALL_SHARE = 16_777_216, 0.05
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +59,76 @@ def p1_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_summary(p1_found(spark, sf_dir))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directory positions below each distinct snapshot tree. Nodes are numbered as they were written, so the nodes of
+    one backed-up set lie together: the locality of the links."""
+    links = read_table(spark, sf_dir, "tree_nodes").where("node_type = 'directory'").select(id_key("tree_id").alias("parent"), "name", id_key("tree").alias("child"), "node_id")
+    roots = read_table(spark, sf_dir, "snapshots").select(id_key("tree").alias("root"))
+    found = expand_hierarchy(links, roots, "parent", "name", "child", "node_id", "root")
+    return found.select(id_text("root").alias("root_tree"), F.col("label").alias("dir_path"), "depth", F.col("closes").cast("int").alias("closes_cycle"))
+
+
+def pack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pack, blob, blob_length) for each live entry and the pack it points to; repeated rows stay."""
+    entries = read_table(spark, sf_dir, "index_entries").where("deleted_at is null and blob_type <> 'padding' and not coalesce(is_pending, false)")
+    packs = read_table(spark, sf_dir, "index_packs").where("deleted_at is null")
+    slots = packs.select(id_key("index_id").alias("index"), F.col("pack_array_index").alias("slot"), id_key("pack_id").alias("pack")).distinct()
+    return entries.select(id_key("index_id").alias("index"), F.col("pack_array_index").alias("slot"), id_key("blob_id").alias("blob"), "blob_length").join(slots, ["index", "slot"]).select("pack", "blob", "blob_length")
+
+
+def blobs_to_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pack, blob, blob_length): each distinct blob of a small pack once, from the smallest pack id."""
+    small = small_file_blocks(pack_blocks(spark, sf_dir), "pack", "blob", "blob_length", MAX_PACK * SMALL_SHARE)
+    return small.groupBy("blob").agg(F.min(F.struct("pack", "blob_length")).alias("x")).select("x.pack", "blob", "x.blob_length")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rewrite list of the small packs. The tasks write it as many small files; these are consolidated by copying
+    their encoded column chunks, and the list is read from the consolidated files."""
+    parts, whole = new_path(spark, "p4-parts"), new_path(spark, "p4-list")
+    rows = blobs_to_rewrite(spark, sf_dir).select(id_text("pack").alias("pack_id"), id_text("blob").alias("blob_id"))
+    rows.write.option("compression", "zstd").parquet(parts)
+    compact_parquet(spark, parts, whole)
+    return spark.read.schema(rows.schema).parquet(whole)
+
+
+def p4_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packs to write: blobs and bytes of each, from the planned place of every block."""
+    moves = plan_block_moves(blobs_to_rewrite(spark, sf_dir), "pack", "blob", "blob_length", MAX_PACK)
+    return moves.groupBy("target_no").agg(F.count(F.lit(1)).alias("n_blobs"), F.sum("blob_length").alias("n_bytes"), F.max(F.col("target_offset") + F.col("blob_length")).alias("end_offset"))
+
+
+def listing_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots that have a listing: (snap, set, seq, last), numbered in order of time within their set."""
+    snapshots, listed = read_table(spark, sf_dir, "snapshots"), read_table(spark, sf_dir, "snapshot_nodes")
+    one = snapshots.groupBy(id_key("snapshot_id").alias("snap")).agg(F.min(F.struct("loaded_at", "repo_id", "root", "snap_time")).alias("x")).select("snap", "x.*")
+    have = listed.where("path is not null").select(id_key("snapshot_id").alias("snap")).distinct()
+    # a set is the hash of (repo_id, root); the two values stay in the partitioning, so that equal hashes never mix sets
+    w = Window.partitionBy("repo_id", "root").orderBy("snap_time", "snap")
+    out = one.join(have, "snap").withColumn("seq", F.row_number().over(w) - 1).withColumn("set_first", F.first("snap").over(w))
+    return out.withColumn("last", F.count(F.lit(1)).over(Window.partitionBy("repo_id", "root")).cast("int") - 1).select("snap", F.col("set_first").alias("set"), "seq", "last")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed changes between consecutive listings. A set is named by its first snapshot; the state of a node is the text
+    of its compared fields, with the SHA-256 of the blob list where that has more than one blob."""
+    versions, small = written_small(listing_versions(spark, sf_dir), "p5-versions", row_bytes=100)
+    blobs = F.lower(F.array_join("blobs", ",", "\\N"))
+    state = F.concat_ws(
+        "|", F.coalesce("node_type", F.lit("\\N")), F.coalesce(F.col("size").cast("string"), F.lit("\\N")), F.coalesce(F.unix_micros(F.col("modified_time").cast("timestamp")).cast("string"), F.lit("\\N")),
+    )
+    listed = read_table(spark, sf_dir, "snapshot_nodes").select(
+        id_key("snapshot_id").alias("snap"), F.regexp_replace("path", r"^\./", "").alias("path"), "loaded_at",
+        F.when(F.coalesce(F.size("blobs"), F.lit(0)) <= 0, F.encode(state, "UTF-8")).otherwise(F.concat(F.encode(state, "UTF-8"), F.unhex(F.sha2(blobs, 256)))).alias("state"),
+    )
+    rows = listed.join(maybe_broadcast(versions, small), "snap")
+    changes = merge_versions(rows, "set", "path", "seq", "last", "state", "loaded_at")
+    ends = versions.select("set", "seq", "snap")
+    prev = ends.select("set", (F.col("seq") + 1).alias("seq"), F.col("snap").alias("prev"))
+    pairs = ends.join(prev, ["set", "seq"])
+    return changes.join(maybe_broadcast(pairs, small), ["set", "seq"]).select(id_text("prev").alias("prev_snapshot"), id_text("snap").alias("next_snapshot"), "path", "change")
+
+
 _REFS_SQL = """
 WITH b AS (SELECT lower(blob_id) AS k, bool_or(deleted_at IS NULL) AS live, min(loaded_at) AS first FROM index_entries WHERE blob_type <> 'padding' GROUP BY 1),
 p AS (SELECT lower(index_id) || ':' || pack_array_index AS k, bool_or(deleted_at IS NULL) AS live, min(loaded_at) AS first FROM index_packs WHERE index_id IS NOT NULL AND pack_array_index IS NOT NULL GROUP BY 1),
@@ -66,9 +143,39 @@ f AS (
   UNION ALL SELECT q.*, CASE WHEN live IS NULL THEN 'missing' WHEN NOT live THEN 'deleted' WHEN first > t THEN 'late' END FROM q LEFT JOIN p USING (k))
 """
 
+_P5_SQL = """
+WITH s AS (SELECT id, repo_id, root, snap_time FROM (SELECT lower(snapshot_id) AS id, repo_id, root, snap_time, row_number() OVER (PARTITION BY lower(snapshot_id) ORDER BY loaded_at) AS rn FROM snapshots) WHERE rn = 1),
+n AS (SELECT * FROM (SELECT lower(snapshot_id) AS id, regexp_replace(path, '^\\./', '') AS path, node_type, size, modified_time, coalesce(lower(array_to_string(blobs, ',')), '') AS bl,
+  row_number() OVER (PARTITION BY lower(snapshot_id), regexp_replace(path, '^\\./', '') ORDER BY loaded_at) AS rn FROM snapshot_nodes WHERE path IS NOT NULL) WHERE rn = 1),
+v AS (SELECT id, lag(id) OVER (PARTITION BY repo_id, root ORDER BY snap_time, id) AS prev FROM s WHERE id IN (SELECT id FROM n)),
+a AS (SELECT v.prev, v.id AS next, n.* FROM v JOIN n ON n.id = v.prev), b AS (SELECT v.prev, v.id AS next, n.* FROM v JOIN n ON n.id = v.id WHERE v.prev IS NOT NULL)
+SELECT coalesce(a.prev, b.prev) AS prev_snapshot, coalesce(a.next, b.next) AS next_snapshot, coalesce(a.path, b.path) AS path,
+  CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM a FULL JOIN b ON a.prev = b.prev AND a.next = b.next AND a.path = b.path
+WHERE a.path IS NULL OR b.path IS NULL OR a.node_type IS DISTINCT FROM b.node_type OR a.size IS DISTINCT FROM b.size OR a.modified_time IS DISTINCT FROM b.modified_time OR a.bl <> b.bl
+"""
+
+_P4_SQL = """
+WITH h AS (SELECT lower(pack_id) AS pack_id, lower(blob_id) AS blob_id, max(coalesce(blob_length, 0)) AS len FROM index_entries e JOIN index_packs p ON lower(e.index_id) = lower(p.index_id) AND e.pack_array_index = p.pack_array_index
+  WHERE e.deleted_at IS NULL AND p.deleted_at IS NULL AND blob_type <> 'padding' AND NOT coalesce(is_pending, false) AND pack_id IS NOT NULL AND blob_id IS NOT NULL GROUP BY ALL),
+s AS (SELECT pack_id FROM h GROUP BY 1 HAVING sum(len) / 16777216 < 0.05)
+SELECT min(pack_id) AS pack_id, blob_id FROM h WHERE pack_id IN (FROM s) GROUP BY blob_id
+"""
+
+_P3_SQL = """
+WITH RECURSIVE e AS (SELECT DISTINCT lower(tree_id) AS p, coalesce(name, '') AS name, lower(tree) AS c FROM tree_nodes WHERE node_type = 'directory' AND tree_id IS NOT NULL),
+w(r, t, path, d, above, cyc) AS (
+  SELECT DISTINCT lower(tree), lower(tree), '', 0, [lower(tree)], 0 FROM snapshots WHERE tree IS NOT NULL
+  UNION ALL SELECT w.r, e.c, CASE WHEN d = 0 THEN e.name ELSE path || '/' || e.name END, d + 1, list_append(above, e.c), CASE WHEN list_contains(above, e.c) THEN 1 ELSE 0 END FROM w JOIN e ON e.p = w.t WHERE cyc = 0)
+SELECT r AS root_tree, path AS dir_path, d AS depth, cyc AS closes_cycle FROM w WHERE d > 0
+"""
+
 SQL = {
+    "p3_found": _P3_SQL,
+    "p4_found": _P4_SQL,
+    "p5_found": _P5_SQL,
     "p1_found": _REFS_SQL + "SELECT ref_table, ref_field, record_key, k AS missing_key, strftime(t, '%Y-%m') AS period, status FROM f WHERE status IS NOT NULL",
     "p1_summary": _REFS_SQL + "SELECT ref_table, ref_field, strftime(t, '%Y-%m') AS period, status, count(*) AS n_refs, count(DISTINCT k) AS n_keys FROM f WHERE status IS NOT NULL GROUP BY ALL",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_summary": p1_summary}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_targets": p4_targets, "p5_found": p5_found, "p1_found": p1_found, "p1_summary": p1_summary}
