@@ -5,10 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snapweave.functions.ids import id_key, id_text
 from snapweave.llm.contamination import find_contamination
+from snapweave.llm.history_dedup import History, sign
 from snapweave.llm.mixing import actual_shares, counted, mix, mixing_plan
 from snapweave.llm.sentences import sentence_units
-from snapweave.session import read_table
+from snapweave.session import read_table, written
+
+
+def batch_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_id, ord, id, kept, reason) of every record: batch 0 accepted whole, each later batch against the history so far."""
+    signed = written(sign(read_table(spark, sf_dir, "blob_batches"), "rec_id", "batch_no", id_key("blob_id"), "content", extra=["batch_no"]), "signed", ["batch_no"])
+    batches = sorted(r["batch_no"] for r in signed.select("batch_no").distinct().collect())
+    history = History(spark)
+    live = read_table(spark, sf_dir, "index_entries").where("deleted_at is null and blob_type <> 'padding'").select(id_key("blob_id").alias("id"))
+    history.know_ids(live)
+    out: DataFrame | None = None
+    for n in batches:
+        batch = signed.where(F.col("batch_no") == n).drop("batch_no")
+        if n == 0:
+            history.accept(batch)
+            made = batch.select("rec_id", "ord", "id", F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("string").alias("reason"))
+        else:
+            made = history.add_batch(batch)
+        out = made if out is None else out.unionByName(made)
+    return out if out is not None else signed.select("rec_id", "ord", "id", F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("string").alias("reason"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that repeat something accepted. The id of an earlier record that was itself a near-duplicate leads on to what that one repeats."""
+    made = batch_decisions(spark, sf_dir)
+    near = made.where("reason <> 'id'").select("id", F.col("kept").alias("further"))
+    found = made.where("reason is not null").join(near, "id", "left")
+    kept = F.when(F.col("reason") == "id", F.coalesce("further", "kept")).otherwise(F.col("kept"))
+    return found.select("rec_id", id_text(kept).alias("kept_blob_id"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +71,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_items": p6_items, "p7_found": p7_found, "p7_chosen": p7_chosen, "p7_shares": p7_shares, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p6_items": p6_items, "p7_found": p7_found, "p7_chosen": p7_chosen, "p7_shares": p7_shares, "p8_found": p8_found}
 
 SQL = {
     "p7_found": r"""
