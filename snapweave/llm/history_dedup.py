@@ -1,7 +1,7 @@
 """New batches against everything accepted so far, at a cost that follows the batch.
 
-The history is a folder with three tables, each partitioned by a hash of what is looked up in it, so that a batch reads
-only the partitions its own keys fall into:
+The history is a table with three kinds of rows, partitioned by the kind and by a hash of what is looked up in it, so that
+a batch reads only the partitions its own keys fall into:
 
 * ``ids``   - ids of accepted or otherwise known records;
 * ``keys``  - minwise band keys of accepted records, with the record's number;
@@ -140,41 +140,63 @@ def _first_match(verified: DataFrame) -> DataFrame:
 class History:
     """What has been accepted, in a folder that executors share."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, parts: int = 16):
+    SCHEMA = "id binary, band long, other long, other_id binary, other_words string, kind string, part int"
+
+    def __init__(self, spark: SparkSession, root: str | None = None, parts: int = 8):
         self.spark, self.root, self.parts = spark, root or new_path(spark, "history"), parts
-        self.kinds = {"ids": "id binary, part int", "keys": "band long, other long, part int", "texts": "other long, other_id binary, other_words string, part int"}
 
-    def _part(self, c: Column) -> Column:
+    def part(self, c: Column) -> Column:
         return F.pmod(F.xxhash64(c), F.lit(self.parts)).cast("int")
 
-    def _append(self, df: DataFrame, table: str, by: str) -> None:
-        df.withColumn("part", self._part(F.col(by))).repartition("part").write.mode("append").partitionBy("part").option("compression", "zstd").parquet(f"{self.root}/{table}")
+    def _rows(self, df: DataFrame, kind: str, by: str) -> DataFrame:
+        names = [f.split()[0] for f in self.SCHEMA.split(", ")[:-2]]
+        kinds = dict(f.split() for f in self.SCHEMA.split(", "))
+        cols = [F.col(n) if n in df.columns else F.lit(None).cast(kinds[n]).alias(n) for n in names]
+        return df.select(*cols, F.lit(kind).alias("kind"), self.part(F.col(by)).alias("part"))
+
+    def _append(self, df: DataFrame) -> None:
+        df.repartition("kind", "part").write.mode("append").partitionBy("kind", "part").option("compression", "zstd").parquet(self.root)
 
-    def _read(self, table: str, parts: list[int]) -> DataFrame:
+    def _table(self) -> DataFrame:
         try:
-            df = self.spark.read.schema(self.kinds[table]).parquet(f"{self.root}/{table}")
+            return self.spark.read.schema(self.SCHEMA).parquet(self.root)
         except Exception as e:  # nothing was appended yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], self.kinds[table])
-        return df.where(F.col("part").isin(parts))
+            return self.spark.createDataFrame([], self.SCHEMA)
+
+    @staticmethod
+    def _of(table: DataFrame, kind: str, parts: list[int]) -> DataFrame:
+        return table.where((F.col("kind") == kind) & F.col("part").isin(parts))
 
     def know_ids(self, ids: DataFrame) -> None:
         """Adds ids (column ``id``) that count as accepted without a record."""
-        self._append(ids.where("id is not null").select("id").distinct(), "ids", "id")
+        self._append(self._rows(ids.where("id is not null").select("id").distinct(), "ids", "id"))
 
     def accept(self, records: DataFrame) -> None:
-        """Appends the keys of accepted records. One of several equal contents is enough for the bands: the first."""
-        self._append(records.where("id is not null").select("id"), "ids", "id")
+        """Appends the keys of accepted records, in one write."""
         have = records.where("content_key is not null")
-        self._append(have.select(F.explode("bands").alias("band"), F.col("ord").alias("other")), "keys", "band")
-        self._append(have.select(F.col("ord").alias("other"), F.col("id").alias("other_id"), F.col("words").alias("other_words")), "texts", "other")
-
-    def add_batch(self, batch: DataFrame) -> DataFrame:
+        rows = self._rows(records.where("id is not null").select("id"), "ids", "id")
+        rows = rows.unionByName(self._rows(have.select(F.explode("bands").alias("band"), F.col("ord").alias("other")), "keys", "band"))
+        self._append(rows.unionByName(self._rows(have.select(F.col("ord").alias("other"), F.col("id").alias("other_id"), F.col("words").alias("other_words")), "texts", "other")))
+
+    def parts_of(self, signed: DataFrame, by: str | None = None) -> dict:
+        """The partitions that the ids and the bands of signed records fall into, per value of ``by``: at most 2 x parts numbers each."""
+        key = F.col(by) if by else F.lit(0)
+        rows = signed.select(key.alias("b"), F.lit(0).alias("k"), self.part(F.col("id")).alias("p"))
+        rows = rows.unionByName(signed.select(key.alias("b"), F.explode("bands").alias("x")).select("b", F.lit(1).alias("k"), self.part(F.col("x")).alias("p")))
+        out: dict = {}
+        for r in rows.distinct().collect():
+            out.setdefault(r["b"], ([], []))[r["k"]].append(r["p"])
+        return out
+
+    def add_batch(self, batch: DataFrame, parts: tuple[list[int], list[int]] | None = None) -> DataFrame:
         """Decides a signed batch, appends what is accepted, and returns (rec_id, ord, id, kept, reason): kept is null for
-        accepted records; for ``id`` repeats it is the id itself, which may in turn have been decided otherwise."""
-        asked = batch.select(F.lit(0).alias("k"), self._part(F.col("id")).alias("p")).unionByName(batch.select(F.lit(1).alias("k"), F.explode("bands").alias("b")).select("k", self._part(F.col("b")).alias("p"))).where("p is not null").distinct().collect()  # at most 2 x parts rows
-        known = self._read("ids", [r["p"] for r in asked if r["k"] == 0]).select("id", F.lit(True).alias("known")).distinct()
+        accepted records; for ``id`` repeats it is the id itself, which may in turn have been decided otherwise.
+        ``parts`` are the batch's partitions, if known from ``parts_of``."""
+        in_ids, in_keys = parts or self.parts_of(batch).get(0, ([], []))
+        table = self._table()  # listed once a batch
+        known = self._of(table, "ids", in_ids).select("id", F.lit(True).alias("known")).distinct()
         first = F.row_number().over(Window.partitionBy("id").orderBy("ord"))
         named = batch.join(known, "id", "left").withColumn("nth", first)
         by_id = F.col("id").isNotNull() & (F.coalesce("known", F.lit(False)) | (F.col("nth") > 1))
@@ -187,10 +209,10 @@ class History:
         asks = alone.where("leader is not null")
 
         # against the history
-        keys = self._read("keys", [r["p"] for r in asked if r["k"] == 1]).select("band", "other")
+        keys = self._of(table, "keys", in_keys).select("band", "other")
         hits = written(asks.select("ord", F.explode("bands").alias("band")).join(keys, "band").select("ord", "other").distinct(), "hits")
-        places = [r["p"] for r in hits.select(self._part(F.col("other")).alias("p")).distinct().collect()]  # at most `parts` rows
-        pairs = hits.join(asks.select("ord", "words"), "ord").join(self._read("texts", places).select("other", "other_id", "other_words"), "other")
+        places = [r["p"] for r in hits.select(self.part(F.col("other")).alias("p")).distinct().collect()]  # at most `parts` rows
+        pairs = hits.join(asks.select("ord", "words"), "ord").join(self._of(table, "texts", places).select("other", "other_id", "other_words"), "other")
         old = written(_first_match(_verified(pairs)), "old")
 
         # within the batch, in waves

@@ -16,18 +16,18 @@ from snapweave.session import read_table, written
 def batch_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rec_id, ord, id, kept, reason) of every record: batch 0 accepted whole, each later batch against the history so far."""
     signed = written(sign(read_table(spark, sf_dir, "blob_batches"), "rec_id", "batch_no", id_key("blob_id"), "content", extra=["batch_no"]), "signed", ["batch_no"])
-    batches = sorted(r["batch_no"] for r in signed.select("batch_no").distinct().collect())
     history = History(spark)
+    parts = history.parts_of(signed, "batch_no")
     live = read_table(spark, sf_dir, "index_entries").where("deleted_at is null and blob_type <> 'padding'").select(id_key("blob_id").alias("id"))
     history.know_ids(live)
     out: DataFrame | None = None
-    for n in batches:
+    for n in sorted(parts):
         batch = signed.where(F.col("batch_no") == n).drop("batch_no")
         if n == 0:
             history.accept(batch)
             made = batch.select("rec_id", "ord", "id", F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("string").alias("reason"))
         else:
-            made = history.add_batch(batch)
+            made = history.add_batch(batch, parts[n])
         out = made if out is None else out.unionByName(made)
     return out if out is not None else signed.select("rec_id", "ord", "id", F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("string").alias("reason"))
 
