@@ -203,7 +203,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
             for b in batches:
                 hits = [known.hits(t) for t in b.column(1).to_pylist()]
                 keep = [i for i, h in enumerate(hits) if h]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep), pa.array([hits[i] for i in keep], pa.list_(pa.int32()))], names=["id", "text", "grams"])
+                rows = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array([hits[i] for i in keep], pa.list_(pa.int32()))], names=["id", "text", "grams"])
 
         hit = written(own.mapInArrow(scan, f"id {kind}, text string, grams array<int>"), "hits")
         counted = hit.select(F.explode("grams").alias("g")).groupBy("g").count().collect()  # at most one row per n-gram of the block

@@ -81,7 +81,7 @@ def mix(counts: DataFrame, plan: DataFrame, seed: int = 11, range_bits: int = 10
     df = df.withColumn("range", F.shiftrightunsigned("key", 64 - range_bits))
     sums = df.groupBy("source_name", "range").agg(F.sum("n_tokens").alias("t"), F.first("rest").alias("rest"))  # sources x 2^range_bits rows
     sums = sums.withColumn("base", F.sum("t").over(Window.partitionBy("source_name").orderBy("range")) - F.col("t"))
-    sums = sums.select("source_name", "range", "base", (F.col("base") + F.col("t") <= F.col("rest")).alias("whole"), (F.col("base") < F.col("rest")).alias("begins"))
+    sums = sums.select("source_name", "range", "base", ((F.col("rest") > 0) & (F.col("base") + F.col("t") <= F.col("rest"))).alias("whole"), (F.col("base") < F.col("rest")).alias("begins"))
     df = df.join(F.broadcast(sums), ["source_name", "range"])
     cut = df.where("not whole and begins")
     running = F.sum("n_tokens").over(Window.partitionBy("source_name").orderBy("key", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))

@@ -13,23 +13,24 @@ from snapweave.llm.sentences import sentence_units
 from snapweave.session import read_table, written
 
 
-def batch_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rec_id, ord, id, kept, reason) of every record: batch 0 accepted whole, each later batch against the history so far."""
+def batch_decisions(spark: SparkSession, sf_dir: str, together: int = 4) -> DataFrame:
+    """(rec_id, ord, id, kept, reason) of every record: batch 0 accepted whole, later batches against the history so far.
+
+    All batches wait here at once, so ``together`` consecutive ones are taken as one: the order of records within a batch
+    is (batch, record), which makes the decisions those of one batch after the other, for fewer jobs."""
     signed = written(sign(read_table(spark, sf_dir, "blob_batches"), "rec_id", "batch_no", id_key("blob_id"), "content", extra=["batch_no"]), "signed", ["batch_no"])
     history = History(spark)
     parts = history.parts_of(signed, "batch_no")
     live = read_table(spark, sf_dir, "index_entries").where("deleted_at is null and blob_type <> 'padding'").select(id_key("blob_id").alias("id"))
     history.know_ids(live)
-    out: DataFrame | None = None
-    for n in sorted(parts):
-        batch = signed.where(F.col("batch_no") == n).drop("batch_no")
-        if n == 0:
-            history.accept(batch)
-            made = batch.select("rec_id", "ord", "id", F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("string").alias("reason"))
-        else:
-            made = history.add_batch(batch, parts[n])
-        out = made if out is None else out.unionByName(made)
-    return out if out is not None else signed.select("rec_id", "ord", "id", F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("string").alias("reason"))
+    out = signed.where("batch_no = 0").select("rec_id", "ord", "id", F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("string").alias("reason"))
+    if 0 in parts:
+        history.accept(signed.where("batch_no = 0"))
+    later = [n for n in sorted(parts) if n > 0]
+    for group in (later[i : i + together] for i in range(0, len(later), together)):
+        places = tuple(sorted({p for n in group for p in parts[n][k]}) for k in (0, 1))
+        out = out.unionByName(history.add_batch(signed.where(F.col("batch_no").isin(group)).drop("batch_no"), places))
+    return out
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
