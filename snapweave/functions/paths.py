@@ -26,7 +26,7 @@ def path_included(path: Column, include: list[str] | None = None, exclude: list[
 
 def filter_paths(df: DataFrame, path_col: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """Rows whose path is included. Null paths are left out."""
-    return df.where(path_included(F.col(f"`{path_col}`"), include, exclude))
+    return df.where(F.col(f"`{path_col}`").isNotNull() & path_included(F.col(f"`{path_col}`"), include, exclude))
 
 
 def parent_of(path: Column) -> Column:

@@ -39,8 +39,12 @@ def find_orphans(
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
     n = len(on)
-    keep = [F.col(f"`{c}`") for c in refs.columns]
-    ref_keys = [F.col(f"`{r}`") for r, _ in on]
+    # the references' columns travel in one struct, so that no name of theirs meets a name of ours
+    held = refs.select(
+        F.struct(*[F.col(f"`{c}`") for c in refs.columns]).alias("__ref"), *[F.col(f"`{r}`").alias(f"__k{i}") for i, (r, _) in enumerate(on)],
+        (F.col(f"`{ref_time}`") if ref_time else F.lit(None).cast("timestamp_ntz")).alias("__at"),
+    )
+    ref_keys = [F.col(f"__k{i}") for i in range(n)]
     facts = targets.select(
         *[F.col(f"`{t}`").alias(f"__t{i}") for i, (_, t) in enumerate(on)],
         (F.coalesce(target_live, F.lit(False)) if target_live is not None else F.lit(True)).alias("__live"),
@@ -50,20 +54,20 @@ def find_orphans(
     for k in range(n, 0, -1) if match == "partial" else [n]:
         for known in combinations(range(n), k):
             mask = [ref_keys[i].isNotNull() if i in known else ref_keys[i].isNull() for i in range(n)]
-            own = refs
+            own = held
             for m in mask:
                 own = own.where(m)
             cols = [f"__t{i}" for i in known]
             found = facts.where(" and ".join(f"{c} is not null" for c in cols)).groupBy(*cols).agg(F.max("__live").alias("__live"), F.min("__first").alias("__first"))
             found = found.withColumn("__h", F.xxhash64(*cols))
             left = own.withColumn("__rh", F.xxhash64(*[ref_keys[i] for i in known]))
-            hit = left.join(found, [left["__rh"] == found["__h"], *[left[f"`{on[i][0]}`"] == found[f"__t{i}"] for i in known]], "left")
-            late = F.col("__first") > F.col(f"`{ref_time}`") if ref_time and target_time else F.lit(False)
+            hit = left.join(found, [left["__rh"] == found["__h"], *[left[f"__k{i}"] == found[f"__t{i}"] for i in known]], "left")
+            late = F.col("__first") > F.col("__at") if ref_time and target_time else F.lit(False)
             status = F.when(F.col("__live").isNull(), "missing").when(~F.col("__live"), "deleted").when(late, "late")
-            out.append(hit.withColumn("__status", status).where("__status is not null").select(*keep, F.col("__status").alias(status_col)))
+            out.append(hit.withColumn("__status", status).where("__status is not null").select("__ref.*", F.col("__status").alias(status_col)))
     if match == "full" and n > 1:
         nulls = sum((c.isNull().cast("int") for c in ref_keys), F.lit(0))
-        out.append(refs.where((nulls > 0) & (nulls < n)).select(*keep, F.lit("malformed").alias(status_col)))
+        out.append(held.where((nulls > 0) & (nulls < n)).select("__ref.*", F.lit("malformed").alias(status_col)))
     result = out[0]
     for x in out[1:]:
         result = result.unionByName(x)

@@ -13,6 +13,7 @@ from snapweave.functions import paths as P
 from snapweave.functions import scalars as S
 from snapweave.operators import chunking, dedup, diff, gc, packing, retention, tree
 from snapweave.session import read_table
+from snapweave.sources import packfile
 from snapweave.views import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,7 +69,7 @@ def snapshot_diff_filtered(spark, d):
 
 @query(
     _DIFF
-    + """, c AS (SELECT path, count(*) AS n, sum(strlen(ch)) AS bytes FROM (SELECT path, unnest(list_transform(string_split(content, chr(10)), (x, i) -> CASE WHEN i < len(string_split(content, chr(10))) THEN x || chr(10) ELSE x END)) AS ch FROM nodes_v2) GROUP BY 1)
+    + """, c AS (SELECT path, count(*) AS n, sum(strlen(ch)) AS bytes FROM (SELECT path, unnest(list_transform(string_split(content, chr(10)), lambda x, i: CASE WHEN i < len(string_split(content, chr(10))) THEN x || chr(10) ELSE x END)) AS ch FROM nodes_v2) GROUP BY 1)
 SELECT d.path, status, CASE WHEN status = 'unchanged' THEN 0 ELSE n END AS n_chunks, CASE WHEN status = 'unchanged' THEN 0 ELSE bytes END::BIGINT AS new_bytes FROM d JOIN c ON c.path = d.path WHERE status <> 'deleted'"""
 )
 def incremental_chunks(spark, d):
@@ -261,7 +262,7 @@ def dedup_stats(spark, d):
     return dedup.dedup_stats(V.chunks(spark, d))
 
 
-_LINES = "SELECT sha256(ch) AS chunk_id, strlen(ch) AS len FROM (SELECT unnest(list_transform(string_split(content, chr(10)), (x, i) -> CASE WHEN i < len(string_split(content, chr(10))) THEN x || chr(10) ELSE x END)) AS ch FROM {v})"
+_LINES = "SELECT sha256(ch) AS chunk_id, strlen(ch) AS len FROM (SELECT unnest(list_transform(string_split(content, chr(10)), lambda x, i: CASE WHEN i < len(string_split(content, chr(10))) THEN x || chr(10) ELSE x END)) AS ch FROM {v})"
 
 
 @query(with_views("nodes_v1", "nodes_v2") + f", a AS ({_LINES.format(v='nodes_v1')}), b AS ({_LINES.format(v='nodes_v2')}) SELECT DISTINCT chunk_id, len FROM b WHERE chunk_id NOT IN (SELECT chunk_id FROM a)")
@@ -366,11 +367,11 @@ def parse_url(spark, d):
     i = F.col("doc_id").cast("string")
     port = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(":"), (F.lit(1000) + F.col("doc_id") % 90).cast("string"))).otherwise(F.lit(""))
     url = F.concat(F.lit("SFTP://u"), (F.col("doc_id") % 7).cast("string"), F.lit("@Host"), (F.col("doc_id") % 13).cast("string"), port, F.lit("/a%20b/./gone/../"), i, F.lit("/x?q=1#f"))
-    u = S.parse_url(url)
-    return read_table(spark, d, "documents").select("doc_id", u["scheme"].alias("scheme"), u["username"].alias("username"), u["host"].alias("host"), u["port"].alias("port"), F.array_join(u["path"], "/").alias("path"))
+    df = read_table(spark, d, "documents").select("doc_id", S.parse_url(url).alias("u"))
+    return df.select("doc_id", "u.scheme", "u.username", "u.host", "u.port", F.array_join("u.path", "/").alias("path"))
 
 
-_DUR = "array_to_string(list_slice(list_filter([CASE WHEN s // 86400 > 0 THEN s // 86400 || 'd' END, CASE WHEN s % 86400 // 3600 > 0 OR (s // 86400 > 0 AND s % 3600 // 60 > 0) THEN s % 86400 // 3600 || 'h' END, CASE WHEN s % 3600 // 60 > 0 THEN s % 3600 // 60 || 'm' END, CASE WHEN s % 60 > 0 THEN s % 60 || 's' END], x -> x IS NOT NULL), 1, 2), ' ')"
+_DUR = "array_to_string(list_slice(list_filter([CASE WHEN s // 86400 > 0 THEN s // 86400 || 'd' END, CASE WHEN s % 86400 // 3600 > 0 OR (s // 86400 > 0 AND s % 3600 // 60 > 0) THEN s % 86400 // 3600 || 'h' END, CASE WHEN s % 3600 // 60 > 0 THEN s % 3600 // 60 || 'm' END, CASE WHEN s % 60 > 0 THEN s % 60 || 's' END], lambda x: x IS NOT NULL), 1, 2), ' ')"
 
 
 @query(f"SELECT l_orderkey, {_size_sql('b')} AS size_h, CASE WHEN s = 0 THEN '0s' ELSE {_DUR} END AS duration_h FROM (SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) * 997 AS b, CAST(sum(l_quantity) AS BIGINT) * 641 AS s FROM lineitem GROUP BY 1)")
@@ -398,3 +399,34 @@ def parse_tags(spark, d):
 @query()
 def cdc_chunks(spark, d):
     return chunking.content_chunks(read_table(spark, d, "documents"), "doc_id", F.col("text"), 64, 256, 1024).select("doc_id", "seq", "len")
+
+
+@query()
+def zstd_sizes(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    return packfile.compressed(docs, "content", "enc").select("doc_id", F.octet_length("content").alias("raw_len"), F.octet_length("enc").alias("enc_len"))
+
+
+_STORED = """WITH one AS (SELECT lower(snapshot_id) AS snapshot_id, repo_id AS repo, snap_time AS ts, coalesce(tags, []) AS tags FROM snapshots QUALIFY row_number() OVER (PARTITION BY lower(snapshot_id) ORDER BY loaded_at) = 1)
+"""
+
+
+def _stored(spark, d):
+    """The stored snapshots, each once at its earliest row."""
+    df = read_table(spark, d, "snapshots").groupBy(F.lower("snapshot_id").alias("snapshot_id")).agg(F.min(F.struct("loaded_at", "repo_id", "snap_time", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))).alias("x"))
+    return df.select("snapshot_id", F.col("x.repo_id").alias("repo"), F.col("x.snap_time").alias("ts"), F.col("x.tags").alias("tags"))
+
+
+@query(_STORED + "SELECT repo, max_by(snapshot_id, (ts, snapshot_id)) AS snapshot_id, max(ts) AS ts FROM one GROUP BY repo")
+def stored_latest(spark, d):
+    return retention.latest(_stored(spark, d))
+
+
+@query(_STORED + "SELECT snapshot_id FROM one WHERE len(tags) = 0 OR list_contains(tags, 'db')")
+def stored_by_tag(spark, d):
+    return retention.keep_tags(_stored(spark, d), ["db", "[]"]).select("snapshot_id")
+
+
+@query("SELECT node_type, count(DISTINCT node_id) AS n FROM tree_nodes GROUP BY 1")
+def node_kinds(spark, d):
+    return read_table(spark, d, "tree_nodes").groupBy("node_type").agg(F.countDistinct("node_id").alias("n"))

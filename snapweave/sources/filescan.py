@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import stat
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,7 @@ def node_of(path: str) -> tuple:
     """A listing row of a path; links are not followed, so a broken link is a row like any other."""
     s = os.lstat(path)
     kind = next((k for test, k in KINDS if test(s.st_mode)), "file")
-    when = pd.Timestamp(s.st_mtime_ns // 1000, unit="us")
+    when = datetime(1970, 1, 1) + timedelta(microseconds=s.st_mtime_ns // 1000)
     return path, os.path.dirname(path), os.path.basename(path), kind, s.st_size if kind == "file" else 0, when, s.st_mode, s.st_uid, os.readlink(path) if kind == "symlink" else None
 
 
