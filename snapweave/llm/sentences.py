@@ -362,6 +362,10 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, max_texts: int)
     """At most ``max_texts`` texts that hold a list: those least by hash of id and text."""
     text = F.col(f"`{text_col}`")
     own = docs.where(text.rlike(r"(?m)^[ \t]*([-*] |\d+[.)] )")).select(text.alias("t"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("h"))
+    n = own.count()
+    if n > 4 * max_texts:
+        # twice as many as needed on average: every task hands on few rows, however many tasks there are
+        own = own.where(F.col("h") < F.lit(int((2 * max_texts / n - 0.5) * 2**64)))
     return [r["t"] for r in own.orderBy("h", "t").limit(max_texts).collect()]
 
 
