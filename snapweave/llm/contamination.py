@@ -32,18 +32,27 @@ WORD_CHARS = 9
 _BLANKS = re.compile(r"\n[^\S\n]*\n")
 
 
+class _Fold(dict):
+    """Code point -> its compared form, filled as characters turn up, so that folding runs inside str.translate."""
+
+    def __missing__(self, point: int) -> str:
+        out = []
+        for c in unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", chr(point)).casefold()):
+            kind = unicodedata.category(c)
+            if kind[0] in "LN" or kind == "Mc":
+                out.append(c)
+            elif kind not in ("Mn", "Me", "Cf"):
+                out.append(" ")
+        self[point] = "".join(out)
+        return self[point]
+
+
+_FOLD = _Fold()
+
+
 def plain(text: str) -> str:
-    """Text with case, accents, width and punctuation gone; what separates words is one blank."""
-    if text.isascii():
-        return re.sub(r"[^a-z0-9]+", " ", text.lower())
-    out = []
-    for c in unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).casefold()):
-        kind = unicodedata.category(c)
-        if kind[0] in "LN" or kind == "Mc":
-            out.append(c)
-        elif kind not in ("Mn", "Me", "Cf"):
-            out.append(" ")
-    return "".join(out)
+    """Text with case, accents, width and punctuation gone; what separates words is one blank or more."""
+    return text.translate(_FOLD)
 
 
 def passage(text: str) -> str:
