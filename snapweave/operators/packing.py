@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from snapweave.session import written
+
 MAX_PACK, MAX_INDEX_BLOBS = 16 << 20, 65_535
 
 
@@ -71,3 +73,16 @@ def merge_indexes(entries: DataFrame, most: int = MAX_INDEX_BLOBS, range_bits: i
     base = base.select("__r", (F.sum("t").over(Window.partitionBy(F.lit(0)).orderBy("__r")) - F.col("t")).alias("__base"))  # at most 2^range_bits rows
     inside = F.sum("n_blobs").over(Window.partitionBy("__r").orderBy("pack_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_blobs")
     return packs.withColumn("__in", inside).join(F.broadcast(base), "__r").select("pack_id", "n_blobs", F.floor((F.col("__in") + F.col("__base")) / F.lit(most)).cast("long").alias("index_no"))
+
+
+def first_seen_ordinals(df: DataFrame, value_col: str, seq_col: str) -> DataFrame:
+    """(value, ordinal): values numbered from 0 in the order in which they first appear; ties by value, nulls left out.
+
+    Firsts are range-partitioned and written, so that their places stay the same, then numbered within a range and shifted
+    by the counts of the ranges before it: no task sees all values."""
+    firsts = df.where(F.col(value_col).isNotNull()).groupBy(value_col).agg(F.min(seq_col).alias("__first"))
+    placed = written(firsts.repartitionByRange("__first", value_col).withColumn("__p", F.spark_partition_id()), "ordinals")
+    counts = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
+    base = counts.select("__p", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("__p")) - F.col("n")).alias("__base"))  # one row per range
+    place = F.row_number().over(Window.partitionBy("__p").orderBy("__first", value_col)) - 1
+    return placed.withColumn("__i", place).join(F.broadcast(base), "__p").select(value_col, (F.col("__i") + F.col("__base")).alias("ordinal"))

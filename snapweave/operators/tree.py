@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from snapweave.functions.paths import ancestors, name_of, parent_of, path_included
 from snapweave.session import written
@@ -48,3 +49,15 @@ def list_directory(nodes: DataFrame, path: str, recursive: bool = False) -> Data
     p = F.col("path")
     here = p.startswith(path.rstrip("/") + "/")
     return nodes.where(here if recursive else here & (parent_of(p) == (path.rstrip("/") or "/")))
+
+
+def replace_children(children: DataFrame, tree_col: str, name_col: str, seq_col: str) -> DataFrame:
+    """Each name of a tree once, the last put by ``seq_col``; columns stay. Rows tied on it are ranked by their hash."""
+    others = [c for c in children.columns if c not in (tree_col, name_col, seq_col)]
+    w = Window.partitionBy(tree_col, name_col).orderBy(F.desc(seq_col), F.xxhash64(*others) if others else F.lit(0))
+    return children.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+def reachable_nodes(positions: DataFrame) -> DataFrame:
+    """(node) of the roots and everything below them, each once, from expanded positions."""
+    return positions.select("root").distinct().select(F.col("root").alias("node")).unionByName(positions.where("node is not null").select("node")).distinct()

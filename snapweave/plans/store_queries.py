@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from snapweave import views as V
 from snapweave.functions import paths as P
 from snapweave.functions import scalars as S
+from snapweave.functions.ids import id_key, id_text
 from snapweave.operators import chunking, dedup, diff, gc, packing, retention, tree
+from snapweave.operators.hierarchy import expand_hierarchy
 from snapweave.session import read_table
 from snapweave.sources import packfile
 from snapweave.views import with_views
@@ -430,3 +432,63 @@ def stored_by_tag(spark, d):
 @query("SELECT node_type, count(DISTINCT node_id) AS n FROM tree_nodes GROUP BY 1")
 def node_kinds(spark, d):
     return read_table(spark, d, "tree_nodes").groupBy("node_type").agg(F.countDistinct("node_id").alias("n"))
+
+
+@query("SELECT lower(pack_id) AS pack_id, lower(blob_id) AS blob_id, substr(hex(data), 2 * blob_offset + 1, 2 * blob_length) AS bytes FROM (SELECT DISTINCT lower(pack_id) AS pack_id, data FROM packs WHERE data IS NOT NULL) JOIN (SELECT DISTINCT lower(p.pack_id) AS pack_id, lower(blob_id) AS blob_id, blob_offset, blob_length FROM index_entries e JOIN index_packs p ON lower(e.index_id) = lower(p.index_id) AND e.pack_array_index = p.pack_array_index WHERE blob_type <> 'padding') USING (pack_id)")
+def blob_read(spark, d):
+    """Blobs read from the packs whose bytes are given: a slice of the pack at the index's offset and length."""
+    low = lambda c: F.lower(c).alias(c)
+    packs = read_table(spark, d, "packs").where("data is not null").select(low("pack_id"), "data").distinct()
+    slots = read_table(spark, d, "index_packs").select(low("index_id"), "pack_array_index", low("pack_id")).distinct()
+    entries = read_table(spark, d, "index_entries").where("blob_type <> 'padding'").select(low("index_id"), "pack_array_index", low("blob_id"), "blob_offset", "blob_length")
+    at = entries.join(slots, ["index_id", "pack_array_index"]).select("pack_id", "blob_id", "blob_offset", "blob_length").distinct().join(packs, "pack_id")
+    piece = F.substring(F.col("data"), F.col("blob_offset").cast("int") + 1, F.col("blob_length").cast("int"))
+    return at.select("pack_id", "blob_id", F.hex(piece).alias("bytes"))
+
+
+@query("SELECT lower(index_id) AS index_id, count(*) AS n_blobs, count(DISTINCT pack_array_index) AS n_packs, count(*) >= 65535 AS is_full FROM (SELECT DISTINCT lower(index_id) AS index_id, lower(blob_id) AS blob_id, pack_array_index FROM index_entries WHERE deleted_at IS NULL AND blob_type <> 'padding' AND index_id IS NOT NULL) GROUP BY 1")
+def index_counts(spark, d):
+    e = read_table(spark, d, "index_entries").where("deleted_at is null and blob_type <> 'padding' and index_id is not null")
+    e = e.select(F.lower("index_id").alias("index_id"), F.lower("blob_id").alias("blob_id"), "pack_array_index").distinct()
+    n = F.count(F.lit(1))
+    return e.groupBy("index_id").agg(n.alias("n_blobs"), F.countDistinct("pack_array_index").alias("n_packs"), (n >= packing.MAX_INDEX_BLOBS).alias("is_full"))
+
+
+@query("SELECT repo_id, count(*) AS n, sum(b)::BIGINT AS processed, sum(r)::BIGINT AS raw, sum(e)::BIGINT AS encoded FROM (SELECT DISTINCT lower(snapshot_id), repo_id, summary.processed_bytes AS b, summary.raw_bytes AS r, summary.encoded_bytes AS e FROM snapshots) GROUP BY 1")
+def byte_accounts(spark, d):
+    s = read_table(spark, d, "snapshots").select(F.lower("snapshot_id").alias("id"), "repo_id", "summary.processed_bytes", "summary.raw_bytes", "summary.encoded_bytes").distinct()
+    return s.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.sum("processed_bytes").alias("processed"), F.sum("raw_bytes").alias("raw"), F.sum("encoded_bytes").alias("encoded"))
+
+
+@query("SELECT t AS event_type, row_number() OVER (ORDER BY f, t) - 1 AS ordinal FROM (SELECT event_type AS t, min(event_id) AS f FROM events WHERE event_type IS NOT NULL GROUP BY 1)")
+def first_seen(spark, d):
+    return packing.first_seen_ordinals(read_table(spark, d, "events"), "event_type", "event_id")
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY 1, 2")
+def replace_by_name(spark, d):
+    rows = read_table(spark, d, "events").select("user_id", "event_type", "event_id")
+    return tree.replace_children(rows, "user_id", "event_type", "event_id")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT lower(tree_id) AS p, lower(tree) AS c FROM tree_nodes WHERE node_type = 'directory' AND tree IS NOT NULL),
+w(t) AS (SELECT DISTINCT lower(tree) FROM snapshots UNION SELECT e.c FROM w JOIN e ON e.p = w.t)
+SELECT DISTINCT lower(b) AS blob_id FROM (SELECT tree_id, unnest(blobs) AS b FROM tree_nodes) WHERE lower(tree_id) IN (SELECT t FROM w) UNION SELECT t FROM w"""
+)
+def reachable_blobs(spark, d):
+    """Every blob that a snapshot needs: its trees and the blobs of their nodes."""
+    nodes = read_table(spark, d, "tree_nodes")
+    links = nodes.where("node_type = 'directory'").select(id_key("tree_id").alias("parent"), "name", id_key("tree").alias("child"), "node_id")
+    roots = read_table(spark, d, "snapshots").select(id_key("tree").alias("root")).where("root is not null").distinct()
+    trees = tree.reachable_nodes(expand_hierarchy(links, roots, "parent", "name", "child", "node_id", "root")).unionByName(roots.select(F.col("root").alias("node"))).distinct()
+    listed = nodes.select(id_key("tree_id").alias("node"), "blobs").join(trees, "node", "left_semi").select(F.explode("blobs").alias("b")).select(id_key("b").alias("node"))
+    return trees.unionByName(listed).distinct().select(id_text("node").alias("blob_id"))
+
+
+@query("SELECT lower(tree_id) AS tree_id, count(*) AS n FROM (SELECT DISTINCT tree_id, name, node_type FROM (SELECT lower(tree_id) AS tree_id, name, node_type FROM tree_nodes)) GROUP BY 1")
+def tree_json(spark, d):
+    """Trees as JSON lists of nodes by name, and back."""
+    nodes = read_table(spark, d, "tree_nodes").select(F.lower("tree_id").alias("tree_id"), "name", "node_type").distinct()
+    texts = nodes.groupBy("tree_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("name", "node_type")))).alias("json"))
+    return texts.select("tree_id", F.size(F.from_json("json", "array<struct<name: string, node_type: string>>")).cast("long").alias("n"))
