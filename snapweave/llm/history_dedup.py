@@ -8,8 +8,9 @@ a batch reads only the partitions its own keys fall into:
 * ``texts`` - the words of accepted records, by number, for the check of similarity.
 
 A batch is decided in this order: repeated ids (known ones, then later ones within the batch); equal contents within the
-batch, which share the fate of the first; near-duplicates of accepted records; near-duplicates within the batch, in
-waves: in each wave the first record of all of its buckets is accepted and the records that share a bucket with it are
+batch, which share the fate of the first; near-duplicates of accepted records; near-duplicates within the batch. Accepted
+records are probed twice: the first of each band, which settles the copies of a large group at one comparison each, then the
+others, for records that found nothing similar. The batch itself is settled in waves: in each wave the first record of all of its buckets is accepted and the records that share a bucket with it are
 compared with it alone, so a bucket of many copies costs one comparison each, never all pairs. A wave takes the first of
 every bucket, so waves end; their number is the longest run of records that share buckets without being similar.
 
@@ -174,8 +175,9 @@ class History:
         self._append(self._rows(ids.where("id is not null").select("id").distinct(), "ids", "id"))
 
     def accept(self, records: DataFrame) -> None:
-        """Appends the keys of accepted records, in one write."""
-        have = records.where("content_key is not null")
+        """Appends the keys of accepted records, in one write. Of equal contents only the first is kept to compare with."""
+        first = F.min(F.struct("ord", "id", "words", "bands")).alias("x")
+        have = records.where("content_key is not null").groupBy("content_key").agg(first).select("x.*")
         rows = self._rows(records.where("id is not null").select("id"), "ids", "id")
         rows = rows.unionByName(self._rows(have.select(F.explode("bands").alias("band"), F.col("ord").alias("other")), "keys", "band"))
         self._append(rows.unionByName(self._rows(have.select(F.col("ord").alias("other"), F.col("id").alias("other_id"), F.col("words").alias("other_words")), "texts", "other")))
@@ -190,6 +192,13 @@ class History:
             out.setdefault(r["b"], ([], []))[r["k"]].append(r["p"])
         return out
 
+    def _matches(self, table: DataFrame, asks: DataFrame, keys: DataFrame) -> DataFrame:
+        """(ord, other, other_id): the earliest similar one among the accepted records that share a band of ``keys`` with each asking record."""
+        hits = written(asks.select("ord", F.explode("bands").alias("band")).join(keys, "band").select("ord", "other").distinct(), "hits")
+        places = [r["p"] for r in hits.select(self.part(F.col("other")).alias("p")).distinct().collect()]  # at most `parts` rows
+        pairs = hits.join(asks.select("ord", "words"), "ord").join(self._of(table, "texts", places).select("other", "other_id", "other_words"), "other")
+        return written(_first_match(_verified(pairs)), "matches")
+
     def add_batch(self, batch: DataFrame, parts: tuple[list[int], list[int]] | None = None) -> DataFrame:
         """Decides a signed batch, appends what is accepted, and returns (rec_id, ord, id, kept, reason): kept is null for
         accepted records; for ``id`` repeats it is the id itself, which may in turn have been decided otherwise.
@@ -208,12 +217,13 @@ class History:
         alone = state.where("not by_id and (leader is null or leader = ord)")
         asks = alone.where("leader is not null")
 
-        # against the history
+        # against the history: the first record of each band, then the rest for those that found nothing
         keys = self._of(table, "keys", in_keys).select("band", "other")
-        hits = written(asks.select("ord", F.explode("bands").alias("band")).join(keys, "band").select("ord", "other").distinct(), "hits")
-        places = [r["p"] for r in hits.select(self.part(F.col("other")).alias("p")).distinct().collect()]  # at most `parts` rows
-        pairs = hits.join(asks.select("ord", "words"), "ord").join(self._of(table, "texts", places).select("other", "other_id", "other_words"), "other")
-        old = written(_first_match(_verified(pairs)), "old")
+        heads = keys.groupBy("band").agg(F.min("other").alias("other"))
+        old = self._matches(table, asks, heads)
+        open_ = asks.join(old, "ord", "left_anti")
+        rest = keys.join(heads, ["band", "other"], "left_anti")
+        old = written(old.unionByName(self._matches(table, open_, rest)), "old")
 
         # within the batch, in waves
         left = asks.join(old, "ord", "left_anti").select("ord", "id", "words", "bands")

@@ -116,3 +116,25 @@ def test_long_texts_and_null_ids(spark):
     history.accept(signed.where("batch_no = 0"))
     got = {r["rec_id"]: r["reason"] for n in (1, 2) for r in history.add_batch(signed.where(F.col("batch_no") == n).drop("batch_no")).collect()}
     assert got == {2: "history", 3: None, 4: "copy", 5: None}
+
+
+def test_a_history_of_near_copies_is_not_paired_out(spark, monkeypatch):
+    """Batch 0 is accepted whole, here with 60 near copies, 30 of them exact ones; 40 new near copies must not meet all of them."""
+    rng = random.Random(8)
+    base = [f"u{i}" for i in range(60)]
+
+    def near(r):
+        w = list(base)
+        w[rng.randrange(60)] = f"x{r}"
+        return " ".join(w)
+
+    rows = [(r, 0, f"i{r}", near(r) if r % 2 else " ".join(base)) for r in range(60)] + [(r, 1, f"i{r}", near(r)) for r in range(100, 140)]
+    seen = []
+    real = H._verified
+    monkeypatch.setattr(H, "_verified", lambda pairs: seen.append(pairs.count()) or real(pairs))
+    got = spark_result(spark, rows, set())
+    assert got.keys() == brute(rows, set()).keys() == set(range(100, 140))
+    # every record meets at most the first of each of its bands
+    assert sum(seen) <= 40 * H.BANDS and sum(seen) < 40 * 31
+    accepted = {f"i{r}" for r in range(60)}
+    assert set(got.values()) <= accepted
