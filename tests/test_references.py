@@ -48,3 +48,33 @@ def test_ids_in_either_case_and_malformed(spark):
 def test_summary(spark):
     df = spark.createDataFrame([("t", "f", "r1", "k", "2024-01", "late"), ("t", "f", "r2", "k", "2024-01", "late")], "ref_table string, ref_field string, record_key string, missing_key string, period string, status string")
     assert [(r["n_refs"], r["n_keys"]) for r in orphan_summary(df).collect()] == [(2, 1)]
+
+
+def test_a_hot_key_is_split_among_tasks(spark):
+    """A third of all references name one key: adaptive execution must split that side of the join, in the executed plan."""
+    from pyspark.sql import functions as F
+
+    from snapweave.operators.compaction import small_file_blocks
+
+    conf = {"skewJoin.skewedPartitionThresholdInBytes": "200k", "advisoryPartitionSizeInBytes": "200k", "skewJoin.skewedPartitionFactor": "2"}
+    for k, v in conf.items():
+        spark.conf.set(f"spark.sql.adaptive.{k}", v)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        hot = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 20_000)
+        key = lambda c: F.sha2(c.cast("string"), 256).cast("binary")
+        refs = spark.range(240_000).select(F.sha2(F.col("id").cast("string"), 512).alias("n"), key(hot).alias("key"))  # n does not compress
+        targets = spark.range(16_000).where("id <> 7").select(key(F.col("id")).alias("key"))
+        blocks = spark.range(240_000).select(hot.cast("string").alias("f"), F.sha2(F.col("id").cast("string"), 512).alias("b"), F.lit(10).alias("n"))
+        wanted = refs.join(targets, "key", "left_anti").count()
+        for df, column, count in ((find_orphans(refs, targets, [("key", "key")]), "n", wanted), (small_file_blocks(blocks, "f", "b", "n", 100_000), "b", 240_000 - blocks.where("f = '7'").count())):
+            one = df.agg(F.max(column), F.count(F.lit(1)).alias("c"))
+            assert one.collect()[0]["c"] == count
+            final = one._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            assert "skew=true" in final
+    finally:
+        for k in conf:
+            spark.conf.unset(f"spark.sql.adaptive.{k}")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
