@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
 
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 #: A side is broadcast only below this many (estimated) bytes; above it the join shuffles.
 BROADCAST_LIMIT = 32 << 20
 
+_OWN: list[str] = []  # the folder of a local session without the setting; deleted when Python ends
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,8 +28,10 @@ def work_root(spark: SparkSession) -> str:
         sc = spark.sparkContext
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="snapweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="snapweave-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        root = _OWN[0]
     return root.rstrip("/")
 
 
@@ -47,6 +53,31 @@ def written_small(df: DataFrame, tag: str, row_bytes: int, limit: int = BROADCAS
     return out, out.count() * row_bytes <= limit
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ours on whatever file system it lies."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Intermediate tables of one computation, deleted together when it has been written down elsewhere."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, tag: str) -> DataFrame:
+        path = new_path(self.spark, tag)
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        for path in self.paths:
+            delete_path(self.spark, path)
+        self.paths = []
+
+
 def maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
