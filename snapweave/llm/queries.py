@@ -16,30 +16,26 @@ from snapweave.session import read_table, written
 def batch_decisions(spark: SparkSession, sf_dir: str, together: int = 4) -> DataFrame:
     """(rec_id, ord, id, kept, reason) of every record: batch 0 accepted whole, later batches against the history so far.
 
-    All batches wait here at once, so ``together`` consecutive ones are taken as one: the order of records within a batch
-    is (batch, record), which makes the decisions those of one batch after the other, for fewer jobs."""
+    All batches wait here at once, so ``together`` consecutive ones are taken as one, for fewer jobs; a record repeats the
+    earliest it can, so the decisions are those of one batch after the other."""
     signed = written(sign(read_table(spark, sf_dir, "blob_batches"), "rec_id", "batch_no", id_key("blob_id"), "content", extra=["batch_no"]), "signed", ["batch_no"])
+    numbers = sorted(r["batch_no"] for r in signed.select("batch_no").distinct().collect())  # one row a batch
     history = History(spark)
-    parts = history.parts_of(signed, "batch_no")
     live = read_table(spark, sf_dir, "index_entries").where("deleted_at is null and blob_type <> 'padding'").select(id_key("blob_id").alias("id"))
     history.know_ids(live)
-    out = signed.where("batch_no = 0").select("rec_id", "ord", "id", F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("string").alias("reason"))
-    if 0 in parts:
-        history.accept(signed.where("batch_no = 0"))
-    later = [n for n in sorted(parts) if n > 0]
+    first = signed.where("batch_no = 0")
+    out = first.select("rec_id", "ord", "id", F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("string").alias("reason")).distinct()
+    if 0 in numbers:
+        history.accept(first.drop("batch_no"))
+    later = [n for n in numbers if n > 0]
     for group in (later[i : i + together] for i in range(0, len(later), together)):
-        places = tuple(sorted({p for n in group for p in parts[n][k]}) for k in (0, 1))
-        out = out.unionByName(history.add_batch(signed.where(F.col("batch_no").isin(group)).drop("batch_no"), places))
+        out = out.unionByName(history.add_batch(signed.where(F.col("batch_no").isin(group)).drop("batch_no")))
     return out
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records that repeat something accepted. The id of an earlier record that was itself a near-duplicate leads on to what that one repeats."""
-    made = batch_decisions(spark, sf_dir)
-    near = made.where("reason <> 'id'").select("id", F.col("kept").alias("further"))
-    found = made.where("reason is not null").join(near, "id", "left")
-    kept = F.when(F.col("reason") == "id", F.coalesce("further", "kept")).otherwise(F.col("kept"))
-    return found.select("rec_id", id_text(kept).alias("kept_blob_id"))
+    """Records that repeat something accepted, with its id."""
+    return batch_decisions(spark, sf_dir).where("reason is not null").select("rec_id", id_text("kept").alias("kept_blob_id"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
