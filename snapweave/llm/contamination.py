@@ -1,39 +1,59 @@
-"""Evaluation texts in training texts: rare n-gram seeds, then Smith-Waterman alignment of the places they point to.
+"""Evaluation texts in training texts: rare n-gram seeds join documents to items, Smith-Waterman alignment scores the pairs.
 
 Texts are compared as sequences of words - of characters in scripts without blanks - after compatibility decomposition,
-with case, combining marks, punctuation and blanks gone. The n-grams of the items (a block of items at a time, of bounded
-size) are looked up in each document in one pass; documents with any hit are written. How many documents hold each
-n-gram is then counted over all of them, and from each pair of neighbouring n-grams of an item the rarer one becomes a
-seed: however common a passage is in the corpus, each clean run of n + 1 words of it keeps a seed. Documents whose seeds
-could reach the asked coverage are aligned with the item around the seeds. The alignment's path gives stretches, which
-one changed word does not end; stretches of at least ``least`` words count, and the share of the item they cover is reported.
-
-Nothing caps the documents of an item or the items of a document. Null and empty texts match nothing; an item without a
-passage matches nothing; repeated documents are reported once per id. Texts are used whole.
+with case, combining marks, punctuation and blanks gone. The steps:
+
+1. n-grams: the corpus is folded and hashed once, in whole Arrow batches. Words have three patterns (three in a row, and three
+   of four with the second or third left open), so that texts with every third word changed still share some; characters
+   have runs of six. Documents with an n-gram of some item are written with those n-grams. Which n-grams the items have is
+   told to the tasks as a set of 8 bytes each, if that stays below ``filter_bytes``; beyond it documents keep all of theirs.
+2. seeds: the documents with each n-gram are counted, and of each two neighbouring n-grams of an item the rarer one becomes
+   a seed, so however common a passage is, each run that leaves two neighbouring n-grams keeps a seed.
+3. join: documents and items meet on the hash of a seed. No pair is left out before it is aligned.
+4. alignment: the n-grams a pair shares lie on diagonals; around each cluster of them a band is aligned by Smith-Waterman
+   with repeated matches, many bands at a time. A band costs (words of the item) x (width of the band), however long the
+   document is.
+
+A stretch is what a local alignment leaves: equal words count 1 each, a changed word (up to ``WORD_CHARS`` changed
+characters) costs ``COST``, and a stretch goes on as long as what follows pays for that: texts of one pattern with other
+words in it do not. Stretches with ``LEAST`` equal words (characters) count; the share of the item they cover is reported.
+
+Nothing caps the documents of an item or the items of a document. Null and empty texts match nothing; an item with fewer
+words than a stretch needs matches nothing; repeated documents are reported once per id. Texts are used whole.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from snapweave.session import written
+from snapweave.session import BROADCAST_LIMIT, maybe_broadcast, written
 
-WORDS, CHARS = 3, 6  # n of the n-grams, in words and in characters
+#: Patterns of the n-grams of words, and the length of those of characters.
+PATTERNS, CHARS = ((0, 1, 2), (0, 1, 3), (0, 2, 3)), 6
 #: An isolated change of one word may change this many characters.
 WORD_CHARS = 9
+#: By kind (words, characters): equal ones a stretch needs, cost of a change, places a change may take.
+LEAST, COST, JUMP = {"w": 8, "c": 16}, {"w": 1, "c": 6}, {"w": 1, "c": WORD_CHARS}
+#: Places of the item that the n-grams in a band must cover for it to be aligned: every stretch leaves as many, unless it has
+#: words put in or left out more often than every third word.
+SPREAD = {"w": 5, "c": 12}
+#: Half the width of a band, and the scores of the alignment.
+HALF, MATCH, MISMATCH, GAP, THRESHOLD = 12, 2, -1, -2, 10
 _BLANKS = re.compile(r"\n[^\S\n]*\n")
+_UNSEEN, _MANY, _END, _BLANK = 0x7FFFFFFF, 0x7FFFFFFE, 1, 32
+_MUL = np.random.default_rng(4).integers(1, 1 << 63, (len(PATTERNS) + 1, CHARS), dtype=np.uint64) | np.uint64(1)
 
 
 class _Fold(dict):
-    """Code point -> its compared form, filled as characters turn up, so that folding runs inside str.translate."""
+    """Code point -> its compared form."""
 
     def __missing__(self, point: int) -> str:
         out = []
@@ -61,195 +81,369 @@ def passage(text: str) -> str:
     return text[m.end() :] if m else text
 
 
-class Items:
-    """A block of evaluation items: their tokens and the n-grams they share a number for."""
-
-    def __init__(self, rows: list[tuple]):
-        self.tokens: dict[int, list[str]] = {}
-        self.kind: dict[int, str] = {}
-        self.grams: dict[str, dict] = {"w": {}, "c": {}}
-        self.at: dict[int, list[int]] = {}  # item -> numbers of its n-grams by place
-        n = 0
-        for item, lang, text in rows:
-            kind = "c" if (lang or "").lower() in ("zh", "ja", "th") else "w"
-            p = plain(passage(text or ""))
-            seq = list(p.replace(" ", "")) if kind == "c" else p.split()
-            size = CHARS if kind == "c" else WORDS
-            self.tokens[item], self.kind[item], self.at[item] = seq, kind, []
-            for i in range(len(seq) - size + 1):
-                g = "".join(seq[i : i + size]) if kind == "c" else (seq[i], seq[i + 1], seq[i + 2])
-                if g not in self.grams[kind]:
-                    self.grams[kind][g] = n
-                    n += 1
-                self.at[item].append(self.grams[kind][g])
-        self.count = n
-
-    def hits(self, text: str) -> list[int]:
-        """Numbers of the items' n-grams that stand in ``text``, each once."""
-        p = plain(text)
-        found: set[int] = set()
-        if self.grams["w"]:
-            w, get = p.split(), self.grams["w"].get
-            found.update(x for x in map(get, zip(w, w[1:], w[2:])) if x is not None)
-        if self.grams["c"] and not text.isascii():
-            c, get = p.replace(" ", ""), self.grams["c"].get
-            found.update(x for x in (get(c[i : i + CHARS]) for i in range(len(c) - CHARS + 1)) if x is not None)
-        return sorted(found)
-
-
-def rare_seeds(items: Items, documents_with: dict[int, int]) -> dict[int, list[int]]:
-    """n-gram number -> items it is a seed of: of each two neighbouring n-grams the one in fewer documents."""
-    seeds: dict[int, set[int]] = defaultdict(set)
-    for item, grams in items.at.items():
-        if len(grams) == 1:
-            seeds[grams[0]].add(item)
-        for a, b in zip(grams, grams[1:]):
-            seeds[a if documents_with.get(a, 0) <= documents_with.get(b, 0) else b].add(item)
-    return {g: sorted(s) for g, s in seeds.items()}
-
-
-def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -2) -> list[list[tuple[int, int]]]:
-    """Matched places (i, j) of local alignments of ``a`` and ``b``, best first; each place of ``b`` is used by one alignment at most."""
-    m, n = len(a), len(b)
-    if not m or not n:
-        return []
-    h = np.zeros((m + 1, n + 1), np.int32)
-    ramp = np.arange(n + 1, dtype=np.int32) * -gap
-    for i in range(1, m + 1):
-        diag = h[i - 1, :-1] + np.where(b == a[i - 1], match, mismatch)
-        row = np.maximum(np.maximum(diag, h[i - 1, 1:] + gap), 0)
-        # gaps within the row: best of row[k] + gap * (j - k), as a running maximum
-        h[i, 1:] = np.maximum.accumulate(row + ramp[1:]) - ramp[1:]
+def kind_of(lang: str | None) -> str:
+    return "c" if (lang or "").strip().lower() in ("zh", "ja", "th") else "w"
+
+
+class Folder:
+    """Texts to arrays of tokens: the same folding as ``plain``, for many texts at a time."""
+
+    def __init__(self):
+        self.one = np.full(0x110001, _UNSEEN, np.uint32)
+        self.one[0x110000] = _END
+        self.size, self.start, self.parts = np.ones(0x110001, np.uint8), np.zeros(0x110001, np.int64), np.zeros(0, np.uint32)
+        self.power, self.inverse = np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def _codes(self, points: np.ndarray) -> np.ndarray:
+        out = self.one[points]
+        if (new := out == _UNSEEN).any():
+            for c in np.unique(points[new]).tolist():
+                s = _FOLD[c]
+                self.one[c] = 0 if not s else ord(s) if len(s) == 1 else _MANY
+                if len(s) > 1:
+                    self.size[c], self.start[c] = len(s), len(self.parts)
+                    self.parts = np.append(self.parts, np.array([ord(x) for x in s], np.uint32))
+            out = self.one[points]
+        if (many := out == _MANY).any():
+            sizes = self.size[points].astype(np.int64)
+            sizes[~many] = 1
+            wide = np.repeat(out, sizes)
+            n = sizes[many]
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            wide[np.repeat(many, sizes)] = self.parts[np.repeat(self.start[points[many]], n) + inside]
+            out = wide
+        return out[out != 0]
+
+    def _powers(self, n: int) -> None:
+        """Powers of an odd base and of its inverse modulo 2^64, up to n."""
+        if len(self.power) < n:
+            base = 0x9E3779B97F4A7C15
+            for name, x in (("power", base), ("inverse", pow(base, -1, 1 << 64))):
+                factors = np.full(n + n // 2, x, np.uint64)
+                factors[0] = 1
+                setattr(self, name, np.cumprod(factors, dtype=np.uint64))
+
+    def tokens(self, texts: list[str], kind: str) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all tokens, place of the first token of each text and the end)."""
+        end = np.array([0x110000], np.uint32)
+        codes = self._codes(np.concatenate([x for t in texts for x in (np.frombuffer(t.encode("utf-32-le"), np.uint32), end)]))
+        last = codes == _END
+        gap = last | (codes == _BLANK)
+        text_of = np.cumsum(last) - last
+        real = ~gap
+        if kind == "c":
+            h = codes[real].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            return h ^ (h >> np.uint64(32)), np.searchsorted(text_of[real], np.arange(len(texts) + 1))
+        first = real.copy()
+        first[1:] &= gap[:-1]
+        starts = np.flatnonzero(first[real])
+        if not len(starts):
+            return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        letters = codes[real].astype(np.uint64)
+        self._powers(len(letters))
+        letters += np.uint64(0x632BE5AB)
+        letters *= self.power[: len(letters)]
+        h = np.add.reduceat(letters, starts) * self.inverse[starts]  # the value of each word's polynomial
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(29)), np.searchsorted(text_of[first], np.arange(len(texts) + 1))
+
+
+def grams(tokens: np.ndarray, kind: str) -> list[np.ndarray]:
+    """Hashes of the n-grams that begin at each place, one array a pattern."""
     out = []
-    peaks = np.argwhere(h >= 5 * match)
-    order = np.argsort(-h[peaks[:, 0], peaks[:, 1]], kind="stable") if len(peaks) else []
-    used = np.zeros((m + 1, n + 1), bool)
-    for k in order:
-        i, j = map(int, peaks[k])
-        if used[i, j]:
+    for k, pattern in enumerate(PATTERNS if kind == "w" else [tuple(range(CHARS))]):
+        n = len(tokens) - pattern[-1]
+        if n <= 0:
+            out.append(np.zeros(0, np.uint64))
             continue
-        path = []
-        while i > 0 and j > 0 and h[i, j] > 0 and not used[i, j]:
-            used[i, j] = True
-            s = match if a[i - 1] == b[j - 1] else mismatch
-            if h[i, j] == h[i - 1, j - 1] + s:
-                if s == match:
-                    path.append((i - 1, j - 1))
-                i, j = i - 1, j - 1
-            elif h[i, j] == h[i - 1, j] + gap:
-                i -= 1
-            else:
-                j -= 1
-        if len(path) > 3:
-            out.append(path[::-1])
+        row = k if kind == "w" else len(PATTERNS)
+        h = tokens[:n] * _MUL[row, 0]
+        for q, o in enumerate(pattern[1:], 1):
+            h = h + tokens[o : o + n] * _MUL[row, q]
+        out.append(h ^ (h >> np.uint64(30)))
     return out
 
 
-def covered(paths: list[list[tuple[int, int]]], size: int, least: int, jump: int, inside: int) -> int:
-    """Item places in stretches of ``least`` or more equal ones. A stretch goes on over at most ``jump`` changed places, if runs of
-    ``inside`` or more equal places stand on both sides: else texts of one pattern with other names in it would count."""
-    mark = np.zeros(size, bool)
-    for path in paths:
-        runs: list[list[int]] = []
-        for i, j in path:
-            if runs and i == runs[-1][1] + 1 and j == runs[-1][3] + 1:
-                runs[-1][1], runs[-1][3] = i, j
-            else:
-                runs.append([i, i, j, j])
-        runs = [r for r in runs if r[1] - r[0] + 1 >= inside]
-        at = 0
-        while at < len(runs):
-            end = at
-            while end + 1 < len(runs) and runs[end + 1][0] - runs[end][1] - 1 <= jump and runs[end + 1][2] - runs[end][3] - 1 <= jump:
-                end += 1
-            if sum(r[1] - r[0] + 1 for r in runs[at : end + 1]) >= least:
-                mark[runs[at][0] : runs[end][1] + 1] = True
-            at = end + 1
-    return int(mark.sum())
-
-
-def coverage(items: Items, item: int, words: list[str], chars: str) -> float:
-    """Share of the item that stands in a document given as words and as characters."""
-    a, kind = items.tokens[item], items.kind[item]
-    b = chars if kind == "c" else words
-    size = CHARS if kind == "c" else WORDS
-    grams = items.grams[kind]
-    own = {g for g in items.at[item]}
-    places = [j for j, g in enumerate(b[j : j + size] if kind == "c" else tuple(b[j : j + size]) for j in range(len(b) - size + 1)) if grams.get(g) in own]
-    if not places or not a:
-        return 0.0
-    if kind == "c" and "".join(a) in chars or kind == "w" and f" {' '.join(a)} " in f" {' '.join(words)} ":
-        return 1.0
-    least, jump, inside = (16, WORD_CHARS, CHARS) if kind == "c" else (8, 1, WORDS)
-    ids = {t: k for k, t in enumerate(dict.fromkeys(a))}
-    code_a = np.array([ids[t] for t in a], np.int32)
-    paths: list[list[tuple[int, int]]] = []
-    first = last = places[0]
-    reach = len(a)
-    for p in [*places[1:], None]:
-        if p is not None and p - last <= reach:
-            last = p
+def hits_of(texts: list[str], folder: Folder, wanted: np.ndarray | None, kinds: str, table: np.ndarray | None) -> list[np.ndarray]:
+    """For each text the distinct n-grams that are ``wanted`` (sorted; None: all of them)."""
+    rows, found = [], []
+    for kind in kinds:
+        at = np.arange(len(texts)) if kind == "w" else np.array([i for i, t in enumerate(texts) if not t.isascii()], np.int64)
+        if not len(at):
             continue
-        lo, hi = max(0, first - reach), min(len(b), last + size + reach)
-        code_b = np.array([ids.get(t, -1) for t in b[lo:hi]], np.int32)
-        paths += [[(i, j + lo) for i, j in path] for path in smith_waterman(code_a, code_b)]
-        first = last = p
-    return covered(paths, len(a), least, jump, inside) / len(a)
+        tokens, start = folder.tokens([texts[i] for i in at], kind)
+        text_of = np.repeat(np.arange(len(at)), np.diff(start))
+        for pattern, h in zip(PATTERNS if kind == "w" else [(CHARS - 1,)], grams(tokens, kind)):
+            n = len(h)
+            good = text_of[:n] == text_of[pattern[-1] : pattern[-1] + n]
+            if wanted is not None:
+                good &= table[(h >> np.uint64(42)).astype(np.int64)]
+                places = np.flatnonzero(good)
+                x = np.minimum(np.searchsorted(wanted, h[places]), max(len(wanted) - 1, 0))
+                places = places[wanted[x] == h[places]] if len(wanted) else places[:0]
+            else:
+                places = np.flatnonzero(good)
+            rows.append(at[text_of[places]])
+            found.append(h[places])
+    if not rows:
+        return [np.zeros(0, np.uint64)] * len(texts)
+    t, h = np.concatenate(rows), np.concatenate(found)
+    _, once = np.unique(h + t.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), return_index=True)
+    once = once[np.argsort(t[once], kind="stable")]
+    t, h = t[once], h[once]
+    cuts = np.searchsorted(t, np.arange(len(texts) + 1))
+    return [h[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def align_bands(items: list[np.ndarray], docs: list[np.ndarray], diagonals: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Matched places (i, j) of each item and document within ``HALF`` of a diagonal j - i, by Smith-Waterman with repeated
+    matches: alignments that score more than THRESHOLD follow each other along the item. All bands advance a row at a time."""
+    n, width = len(items), 2 * HALF + 1
+    rows = max(map(len, items))
+    a = np.zeros((n, rows), np.uint64)
+    b = np.full((n, rows + width), 1, np.uint64)  # the part of the document that the band can reach; 1 and 0 stand for no token
+    for k, (x, y, d) in enumerate(zip(items, docs, diagonals.tolist())):
+        a[k, : len(x)] = x
+        lo, hi = max(d - HALF, 0), min(d - HALF + rows + width, len(y))
+        if hi > lo:
+            b[k, lo - d + HALF : hi - d + HALF] = y[lo:hi]
+    far = np.int32(-(1 << 28))
+    ramp = np.arange(width, dtype=np.int32) * GAP
+    h = np.zeros((n, width), np.int32)
+    rest = np.zeros(n, np.int32)  # best total of alignments that have ended
+    step = np.zeros((rows + 1, n, width), np.uint8)  # 0 begins here, 1 diagonal, 2 item only, 3 document only
+    ended = np.full((rows + 1, n), -1, np.int16)  # place in the band of the row before where an alignment ended, or -1
+    windows = np.lib.stride_tricks.sliding_window_view(b, width, axis=1)
+    for i in range(1, rows + 1):
+        top = h.argmax(axis=1)
+        close = h[np.arange(n), top] - THRESHOLD
+        stop = close > rest
+        ended[i, stop] = top[stop]
+        rest = np.where(stop, close, rest)
+        diagonal = h + np.where(windows[:, i - 1] == a[:, i - 1, None], MATCH, MISMATCH).astype(np.int32)
+        up = np.full((n, width), far)
+        up[:, :-1] = h[:, 1:] + GAP
+        best = np.maximum(diagonal, up)
+        kind = np.where(diagonal >= up, 1, 2).astype(np.uint8)
+        begin = best <= rest[:, None]
+        best = np.where(begin, rest[:, None], best)
+        kind[begin] = 0
+        along = np.maximum.accumulate(best - ramp, axis=1) + ramp
+        kind[along > best] = 3
+        h, step[i] = along, kind
+    top = h.argmax(axis=1)
+    ends = h[np.arange(n), top] - THRESHOLD > rest
+    place = np.where(ends, top, -1)  # -1: between alignments
+    row = np.full(n, rows)
+    paths: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    every = np.arange(n)
+    while (live := row > 0).any():
+        inside = live & (place >= 0)
+        between = live & (place < 0)
+        kind = np.full(n, 9, np.uint8)
+        kind[inside] = step[row[inside], every[inside], place[inside]]
+        for k in np.flatnonzero(kind == 1):
+            i = int(row[k])
+            j = i - 1 + int(place[k])  # in the reachable part
+            if a[k, i - 1] == b[k, j]:
+                paths[k].append((i - 1, j + int(diagonals[k]) - HALF))
+        came = np.full(n, -1)
+        came[between] = ended[row[between], every[between]]
+        place = np.where(kind == 0, -1, np.where(kind == 2, place + 1, np.where(kind == 3, place - 1, place)))
+        place[between] = came[between]
+        row = row - ((kind == 1) | (kind == 2) | between)
+    return [p[::-1] for p in paths]
+
+
+def covered(path: list[tuple[int, int]], kind: str, mark: np.ndarray) -> None:
+    """Marks the item's places in stretches of a path of matched places."""
+    runs: list[list[int]] = []
+    for i, j in path:
+        if runs and i == runs[-1][1] + 1 and j == runs[-1][3] + 1:
+            runs[-1][1], runs[-1][3] = i, j
+        else:
+            runs.append([i, i, j, j])
+    least, cost, jump = LEAST[kind], COST[kind], JUMP[kind]
+    at = 0
+    while at < len(runs):
+        # the best-scoring chain that begins at this run: ends where the score drops to nothing or the gap is no single change
+        score = best = runs[at][1] - runs[at][0] + 1
+        end = k = at
+        while k + 1 < len(runs) and runs[k + 1][0] - runs[k][1] - 1 <= jump and runs[k + 1][2] - runs[k][3] - 1 <= jump and score > cost:
+            k += 1
+            score += runs[k][1] - runs[k][0] + 1 - cost
+            if score > best:
+                best, end = score, k
+        if sum(r[1] - r[0] + 1 for r in runs[at : end + 1]) >= least:
+            mark[runs[at][0] : runs[end][1] + 1] = True
+        at = end + 1
+
+
+class Item:
+    """An item's tokens and its n-grams, sorted, with their places."""
+
+    def __init__(self, folder: Folder, lang: str | None, text: str | None):
+        self.kind = kind_of(lang)
+        self.tokens = folder.tokens([passage(text or "")], self.kind)[0]
+        by = grams(self.tokens, self.kind)
+        h, at = np.concatenate(by), np.concatenate([np.arange(len(x)) for x in by])
+        order = np.argsort(h, kind="stable")
+        self.grams, self.places, self.pattern = h[order], at[order], np.repeat(np.arange(len(by)), [len(x) for x in by])[order]
+        self.offsets = PATTERNS if self.kind == "w" else (tuple(range(CHARS)),)
+
+
+def bands_of(item: Item, own: tuple[np.ndarray, np.ndarray]) -> list[int]:
+    """Diagonals of the bands of a document that could hold a stretch; ``own``: its n-grams and their places."""
+    h, places = own
+    lo = np.minimum(np.searchsorted(item.grams, h, "left"), len(item.grams) - 1)
+    met = np.flatnonzero(item.grams[lo] == h)
+    if not len(met):
+        return []
+    lo, hi = lo[met], np.searchsorted(item.grams, h[met], "right")
+    n = hi - lo
+    which = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    at = item.places[which]
+    diagonal = np.repeat(places[met], n) - at
+    hits = sorted(zip(diagonal.tolist(), at.tolist(), item.pattern[which].tolist()))
+    out, k, offsets = [], 0, item.offsets
+    while k < len(hits):
+        first, end = hits[k][0], k
+        places = set()
+        while end < len(hits) and hits[end][0] <= first + 2 * HALF - 4:
+            places.update([hits[end][1] + o for o in offsets[hits[end][2]]])
+            end += 1
+        if len(places) >= SPREAD[item.kind]:
+            out.append((first + hits[end - 1][0]) // 2)
+        k = end
+    return out
+
 
+def _holds(tokens: np.ndarray, part: np.ndarray) -> bool:
+    """Whether ``part`` stands in ``tokens`` as it is: then alignment has nothing to add."""
+    whole, sought, at = tokens.tobytes(), part.tobytes(), -1
+    while (at := whole.find(sought, at + 1)) >= 0:
+        if at % 8 == 0:
+            return True
+    return False
 
-def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = 1 / 3, block_items: int = 2000) -> DataFrame:
-    """(id, item_id, coverage) of each document and item with at least ``least_share`` of the item's passage in the document. ``items``: item_id, lang, text; taken in blocks of ``block_items``."""
+
+def coverages(pairs: list[tuple[str, Item]], folder: Folder, most: int = 1024) -> np.ndarray:
+    """Share of the item that stands in the text, for each pair."""
+    marks = [np.zeros(len(item.tokens), bool) for _, item in pairs]
+    for kind in ("w", "c"):
+        mine = [k for k, (_, item) in enumerate(pairs) if item.kind == kind and len(item.tokens) >= LEAST[kind]]
+        texts = list(dict.fromkeys(pairs[k][0] for k in mine))
+        if not texts:
+            continue
+        tokens, start = folder.tokens(texts, kind)
+        doc = {t: tokens[start[x] : start[x + 1]] for x, t in enumerate(texts)}
+        own: dict[str, tuple] = {}
+        work: list[tuple[int, int]] = []
+        for k in mine:
+            text, item = pairs[k]
+            if _holds(doc[text], item.tokens):
+                marks[k][:] = True
+                continue
+            if text not in own:
+                by = grams(doc[text], kind)
+                own = {text: (np.concatenate(by), np.concatenate([np.arange(len(x)) for x in by]))}
+            work += [(k, d) for d in bands_of(item, own[text])]
+        for lo in range(0, len(work), most):
+            part = work[lo : lo + most]
+            paths = align_bands([pairs[k][1].tokens for k, _ in part], [doc[pairs[k][0]] for k, _ in part], np.array([d for _, d in part]))
+            for (k, _), path in zip(part, paths):
+                covered(path, kind, marks[k])
+    return np.array([m.mean() if len(m) else 0.0 for m in marks])
+
+
+def item_grams(items: DataFrame) -> DataFrame:
+    """(item_id, pattern, place, gram) of the items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = Folder()
+        for b in batches:
+            cols: list[list] = [[], [], [], []]
+            for item, lang, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                kind = kind_of(lang)
+                tokens = folder.tokens([passage(text or "")], kind)[0]
+                if len(tokens) < LEAST[kind]:
+                    continue
+                for p, h in enumerate(grams(tokens, kind)):
+                    cols[0] += [item] * len(h)
+                    cols[1] += [p if kind == "w" else -1] * len(h)
+                    cols[2] += range(len(h))
+                    cols[3] += h.view(np.int64).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], names=["item_id", "pattern", "place", "gram"])
+
+    return items.mapInArrow(run, "item_id long, pattern int, place int, gram long")
+
+
+def rare_seeds(known: DataFrame, counts: DataFrame) -> DataFrame:
+    """(gram, item_id): of each two neighbouring n-grams of an item the one in fewer documents; ``counts``: gram, n."""
+    own = known.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    w = Window.partitionBy("item_id", "pattern").orderBy("place")
+    own = own.withColumn("after", F.lead("n").over(w)).withColumn("before", F.lag("n").over(w))
+    rarer = (F.col("n") <= F.col("after")) | (F.col("n") < F.col("before")) | (F.col("after").isNull() & F.col("before").isNull())
+    return own.where(rarer).select("gram", "item_id").distinct()
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = 1 / 3, filter_bytes: int = 256 << 20) -> DataFrame:
+    """(id, item_id, coverage) of each document and item with at least ``least_share`` of the item's passage in the document. ``items``: item_id, lang, text."""
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
+    id_kind = docs.schema[id_col].dataType.simpleString()
     own = docs.where(F.length(F.col(f"`{text_col}`")) > 0).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    out: DataFrame | None = None
-    block: list[tuple] = []
-
-    def of_block(rows: list[tuple]) -> DataFrame:
-        known = Items(rows)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                hits = [known.hits(t) for t in b.column(1).to_pylist()]
-                keep = [i for i, h in enumerate(hits) if h]
-                rows = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array([hits[i] for i in keep], pa.list_(pa.int32()))], names=["id", "text", "grams"])
-
-        hit = written(own.mapInArrow(scan, f"id {kind}, text string, grams array<int>"), "hits")
-        counted = hit.select(F.explode("grams").alias("g")).groupBy("g").count().collect()  # at most one row per n-gram of the block
-        seeds = rare_seeds(known, {r["g"]: r["count"] for r in counted})
-        of = {item: set(g) for item, g in known.at.items()}
-        # the fewest n-grams that a covered share can leave: with one change in every eight words about half of them stay
-        need = {item: max(2, int(len(known.tokens[item]) * least_share / 3)) for item in of}
-
-        def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids, found, shares = [], [], []
-                for i, (text, grams) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                    here = set(grams)
-                    candidates = sorted({x for g in grams for x in seeds.get(g, ())})
-                    words = chars = None
-                    for item in candidates:
-                        if len(here & of[item]) < need[item]:
-                            continue
-                        if words is None:
-                            p = plain(text)
-                            words, chars = p.split(), p.replace(" ", "")
-                        share = coverage(known, item, words, chars)
-                        if share >= least_share:
-                            ids.append(i)
-                            found.append(item)
-                            shares.append(share)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(found, pa.int64()), pa.array(shares, pa.float64())], names=["id", "item_id", "coverage"])
-
-        return hit.mapInArrow(align, f"id {kind}, item_id long, coverage double")
-
-    for r in items.select("item_id", "lang", "text").where("item_id is not null").orderBy("item_id").toLocalIterator():
-        block.append((r["item_id"], r["lang"], r["text"]))
-        if len(block) == block_items:
-            made = of_block(block)
-            out, block = (made if out is None else out.unionByName(made)), []
-    if block or out is None:
-        made = of_block(block)
-        out = made if out is None else out.unionByName(made)
-    return out.groupBy(F.col("id").alias(id_col), "item_id").agg(F.max("coverage").alias("coverage"))
+    few = written(items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "lang", F.col("text").alias("item_text")), "items")
+    n_items, item_bytes = few.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).first()
+    known = written(item_grams(few), "item-grams")
+    distinct = known.select("gram").distinct()
+    n_grams = known.count()
+    kinds = "".join(sorted({"c" if r["pattern"] < 0 else "w" for r in known.select("pattern").distinct().collect()}, reverse=True))  # at most four rows
+    shared = None
+    if 8 * n_grams <= filter_bytes:
+        shared = spark.sparkContext.broadcast(np.sort(np.array([r["gram"] for r in distinct.toLocalIterator()], np.int64).view(np.uint64)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = Folder()
+        wanted = table = None
+        if shared is not None:
+            wanted = shared.value
+            table = np.zeros(1 << 22, bool)
+            table[(wanted >> np.uint64(42)).astype(np.int64)] = True
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            cut = 0
+            while cut < len(texts):  # about two million characters at a time
+                end, size = cut, 0
+                while end < len(texts) and (end == cut or size + len(texts[end]) <= 2_000_000):
+                    size += len(texts[end])
+                    end += 1
+                found = hits_of(texts[cut:end], folder, wanted, kinds, table)
+                keep = [i for i, h in enumerate(found) if len(h)]
+                rows = pa.array([cut + i for i in keep], pa.int64())
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(found[i]) for i in keep)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *(found[i] for i in keep)]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), lists], names=["id", "text", "grams"])
+                cut = end
+
+    hit = written(own.mapInArrow(scan, f"id {id_kind}, text string, grams array<long>"), "hits")
+    said = hit.select("id", F.explode("grams").alias("gram"))
+    seeds = written(rare_seeds(known, said.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))), "seeds")
+    met = written(said.join(maybe_broadcast(seeds, seeds.count() * 16 <= BROADCAST_LIMIT), "gram").select("id", "item_id").distinct(), "met")
+    pairs = hit.select("id", "text").join(maybe_broadcast(met, met.count() * 24 <= BROADCAST_LIMIT), "id")
+    pairs = pairs.join(maybe_broadcast(few, item_bytes + 100 * n_items <= BROADCAST_LIMIT), "item_id").select("id", "text", "item_id", "lang", "item_text")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder, held = Folder(), {}
+        for b in batches:
+            texts, ids, langs, passages = (b.column(i).to_pylist() for i in range(1, 5))
+            for i, lang, text in zip(ids, langs, passages):
+                if i not in held:
+                    held[i] = Item(folder, lang, text)
+            share = coverages([(t, held[i]) for t, i in zip(texts, ids)], folder)
+            rows = pa.array(np.flatnonzero(share >= least_share), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), pa.array(share).take(rows)], names=["id", "item_id", "coverage"])
+            if len(held) > 100_000:
+                held = {}
+
+    found = pairs.mapInArrow(align, f"id {id_kind}, item_id long, coverage double")
+    return found.groupBy(F.col("id").alias(id_col), "item_id").agg(F.max("coverage").alias("coverage"))
