@@ -48,29 +48,49 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("coverage").alias("most"))
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The counts, the plan and the chosen documents."""
+    counts = counted(read_table(spark, sf_dir, "documents"))
+    plan = mixing_plan(counts, read_table(spark, sf_dir, "mix_targets"))
+    return counts, plan, mix(counts, plan)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing_plan(counted(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "mix_targets"))
-    return plan.where("not reachable").select("source_name")
+    """Sources that fall short in the mixture as it comes out: all of their documents are in it as often as they may be."""
+    _, plan, chosen = _mixture(spark, sf_dir)
+    return actual_shares(chosen, plan).where("short").select("source_name")
 
 
 def p7_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = counted(read_table(spark, sf_dir, "documents"))
-    return mix(counts, mixing_plan(counts, read_table(spark, sf_dir, "mix_targets"))).withColumnRenamed("id", "doc_id")
+    return _mixture(spark, sf_dir)[2].withColumnRenamed("id", "doc_id")
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = counted(read_table(spark, sf_dir, "documents"))
-    plan = mixing_plan(counts, read_table(spark, sf_dir, "mix_targets"))
-    return actual_shares(mix(counts, plan), plan)
+    _, plan, chosen = _mixture(spark, sf_dir)
+    return actual_shares(chosen, plan)
+
+
+def p7_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target, whether the cut is where it must be: within the budget, less than one document short of it unless all documents
+    are used up, no document more often than allowed, and no two documents of one source more than one copy apart."""
+    counts, plan, chosen = _mixture(spark, sf_dir)
+    longest = counts.groupBy("source_name").agg(F.max("n_tokens").alias("longest"))
+    apart = chosen.groupBy("source_name").agg(F.min("copies").alias("lo"), F.max("copies").alias("hi"))
+    out = actual_shares(chosen, plan).join(longest, "source_name", "left").join(apart, "source_name", "left")
+    return out.select(
+        "source_name", (F.col("tokens") <= F.col("desired")).alias("within"), (F.col("short") | (F.col("tokens") + F.coalesce("longest", F.lit(0)) >= F.floor("desired"))).alias("tight"),
+        (F.col("most_copies") <= F.col("max_repeats")).alias("capped"), F.coalesce(F.col("hi") - F.col("lo") <= 1, F.lit(True)).alias("even"),
+    )
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p6_items": p6_items, "p7_found": p7_found, "p7_chosen": p7_chosen, "p7_shares": p7_shares, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p6_found": p6_found, "p6_items": p6_items, "p7_found": p7_found, "p7_chosen": p7_chosen, "p7_shares": p7_shares, "p7_cuts": p7_cuts, "p8_found": p8_found}
 
 SQL = {
+    "p7_cuts": "SELECT source_name, true AS within, true AS tight, true AS capped, true AS even FROM mix_targets",
     "p7_found": r"""
 WITH d AS (SELECT lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) AS s, sum(length(text)) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1),
 t AS (SELECT source_name, target_share, max_repeats, coalesce(n, 0) AS n FROM mix_targets LEFT JOIN d ON s = source_name)

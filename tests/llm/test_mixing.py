@@ -9,7 +9,7 @@ TARGETS = "source_name string, target_share double, max_repeats int"
 def run(spark, counts, targets):
     c, t = spark.createDataFrame(counts, COUNTS), spark.createDataFrame(targets, TARGETS)
     plan = M.mixing_plan(c, t)
-    chosen = M.mix(c, plan, range_bits=3)
+    chosen = M.mix(c, plan, range_rows=100)
     return {r["source_name"]: r.asDict() for r in plan.collect()}, chosen.collect(), {r["source_name"]: r.asDict() for r in M.actual_shares(chosen, plan).collect()}
 
 
@@ -23,12 +23,22 @@ def test_budgets_are_met_to_one_document(spark):
     for s, p in plan.items():
         got = sum(r["n_tokens"] * r["copies"] for r in chosen if r["source_name"] == s)
         assert p["taken"] - 50 <= got <= p["taken"] and shares[s]["tokens"] == got
+        assert shares[s]["short"] == (not p["reachable"])
     assert all(r["copies"] <= 2 for r in chosen if r["source_name"] == "b")
     assert abs(sum(r["actual_share"] for r in shares.values()) - 1) < 1e-9
     again = run(spark, counts[::-1], [("a", 0.5, 1), ("b", 0.4, 2), ("c", 0.1, 3), ("none", 0.0, 5)])[1]
     assert sorted(map(tuple, again)) == sorted(map(tuple, chosen))
 
 
+def test_joins_without_broadcast(spark, monkeypatch):
+    counts = [(i, "ab"[i % 3 == 0], 1 + i % 7) for i in range(300)]
+    targets = [("a", 0.9, 1), ("b", 0.1, 2)]
+    want = run(spark, counts, targets)
+    monkeypatch.setattr(M, "BROADCAST_LIMIT", 0)
+    got = run(spark, counts, targets)
+    assert sorted(map(tuple, got[1])) == sorted(map(tuple, want[1])) and got[2]["a"]["short"] and not got[2]["b"]["short"]
+
+
 def test_nulls_ties_and_empty(spark):
     plan, chosen, _ = run(spark, [(1, "a", 5)] * 4 + [(2, "b", 0)], [("a", 0.5, None), ("b", None, 2), (None, 0.5, 1)])
     assert not plan["a"]["reachable"] and plan["b"]["reachable"] and chosen == []
