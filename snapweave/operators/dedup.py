@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def new_blobs(chunks: DataFrame, known: DataFrame, id_col: str = "chunk_id", known_col: str | None = None) -> DataFrame:
@@ -20,6 +19,8 @@ def dedup_stats(chunks: DataFrame, id_col: str = "chunk_id", len_col: str = "len
 
 
 def blob_lookup(wanted: DataFrame, index: DataFrame, id_col: str = "blob_id") -> DataFrame:
-    """Location of each wanted id: the data entry before the tree entry, then the lowest pack and offset."""
-    order = Window.partitionBy(id_col).orderBy(F.when(F.col("blob_type") == "data", 0).otherwise(1), "pack_id", "offset")
-    return wanted.select(id_col).distinct().join(index, id_col).withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r")
+    """Location of each wanted id: the data entry before the tree entry, then the lowest pack and offset. The least is found with a partial aggregate, so an id in very many packs is one row early."""
+    others = [c for c in index.columns if c not in (id_col, "pack_id", "offset")]
+    place = F.min(F.struct(F.when(F.col("blob_type") == "data", 0).otherwise(1).alias("__k"), "pack_id", "offset", *others))
+    first = index.groupBy(id_col).agg(place.alias("__x")).select(id_col, "__x.*").drop("__k")
+    return first.join(wanted.select(id_col).distinct(), id_col, "left_semi").select(index.columns)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from snapweave.session import written
+
 MAX_PACK, TOLERANCE, SMALL_FACTOR = 16 << 20, 0.05, 0.05
 
 
@@ -23,8 +25,9 @@ def pack_bytes(index: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def gc_plan(index: DataFrame, refs: DataFrame, most: float = MAX_PACK, tolerance: float = TOLERANCE, small_factor: float = SMALL_FACTOR) -> DataFrame:
-    """(pack_id, n_ref, total, garbage, status)."""
-    packs = pack_bytes(index, refs)
+    """(pack_id, n_ref, total, garbage, status). The bytes of the packs are written once: the count of small packs and whatever
+    uses the plan read them."""
+    packs = written(pack_bytes(index, refs), "pack-bytes")
     obsolete = F.col("garbage") / most > tolerance
     small = F.col("total") / most < small_factor
     merge = packs.where((F.col("n_ref") > 0) & ~obsolete & small).agg(F.count(F.lit(1)) > 1).scalar()

@@ -5,8 +5,9 @@ its fragment every chain is contracted: from each *entry* (a root, or a node tha
 positions are walked, down to the exits that lead elsewhere. Entries and exits form a smaller quotient graph with
 longer labels, which is solved by the same operator; its solution (root, entry, prefix) is joined with the local
 positions of the entries to give all positions. Fragments hold a bounded number of links; a node whose links lie in
-several fragments (a directory with very many children) is never walked through but entered in each of them. If a
-contraction no longer shrinks the graph, the rest is solved by joining the frontier once per fragment crossing.
+several fragments (a directory with very many children) is never walked through but entered in each of them. Where cutting
+by locality no longer shrinks the graph, the next contraction cuts it by random mates: a hash of the round makes half of the
+nodes take in their children of the other half, which joins about a quarter of all links whatever the locality.
 
 Cycles: a position whose node already stands above it on its own path (the root counts) is kept with ``closes`` true
 and is not descended into. Local walks compare full keys; across fragments the nodes above travel as 64-bit hashes,
@@ -82,27 +83,16 @@ def _walker(sep: str):
     return run
 
 
-def _frontier(links: DataFrame, roots: DataFrame, sep: str) -> DataFrame:
-    """All positions by one join per level of ``links``: the way out when contraction stops shrinking them."""
-    front = roots.select("root", F.col("root").alias("node"), F.lit("").alias("label"), F.lit(0).alias("depth"), F.array().cast("array<long>").alias("above"))
-    done: DataFrame | None = None
-    while True:
-        step = front.join(links.withColumnRenamed("label", "step").withColumnRenamed("depth", "d"), front["node"] == links["parent"]).where(~F.arrays_overlap("above", "via"))
-        step = step.select(
-            "root", F.col("child").alias("node"), F.concat("label", F.when(F.col("depth") > 0, sep).otherwise(""), "step").alias("label"), (F.col("depth") + F.col("d")).alias("depth"),
-            F.concat("above", "via").alias("above"), "child_h",
-        )
-        step = written(step.withColumn("closes", F.coalesce(F.array_contains("above", F.col("child_h")), F.lit(False))), "frontier")
-        if step.isEmpty():
-            break
-        done = step if done is None else done.unionByName(step)
-        front = step.where("not closes and node is not null").select("root", "node", "label", "depth", "above")
-    if done is None:
-        done = step
-    return done.select("root", "node", "label", "depth", "above", "closes")
-
-
-def _positions(links: DataFrame, roots: DataFrame, sep: str, fragment_rows: int, before: float) -> DataFrame:
+def _mated(links: DataFrame, round_no: int) -> DataFrame:
+    """``links`` in fragments of random mates: half of all nodes, by a hash of the round, take in those of the other half
+    that they link to, so a node and its children come to lie in one fragment wherever they were before."""
+    heads = lambda c: F.pmod(F.xxhash64(F.lit(round_no), c), F.lit(2)) == 0
+    mates = links.where(heads("parent") & ~heads("child")).groupBy("child_h").agg(F.min(F.xxhash64("parent")).alias("mate")).withColumnRenamed("child_h", "__node_h")
+    near = links.join(mates, (F.xxhash64("parent") == F.col("__node_h")) & ~heads("parent"), "left")
+    return near.withColumn("frag", F.coalesce("mate", F.xxhash64("parent"))).drop("mate", "__node_h")
+
+
+def _positions(links: DataFrame, roots: DataFrame, sep: str, fragment_rows: int, before: float, round_no: int = 0) -> DataFrame:
     """(root, node, label, depth, above, closes) for every position below the roots; links: parent, label, child, child_h, depth, via, frag."""
     homes = links.groupBy("parent").agg(F.min("frag").alias("home"), F.max("frag").alias("__last"))
     homes = homes.select(F.col("parent").alias("__node"), "home", (F.col("home") != F.col("__last")).alias("split"), F.xxhash64("parent").alias("__h"))
@@ -123,15 +113,14 @@ def _positions(links: DataFrame, roots: DataFrame, sep: str, fragment_rows: int,
     n_exits = exits.count()
     if n_exits:
         quotient = exits.select(F.col("entry").alias("parent"), "label", F.col("node").alias("child"), F.col("node_h").alias("child_h"), "depth", "via", "frag")
-        if n_exits > fragment_rows and n_exits > 0.7 * before:
-            inner = _frontier(quotient.drop("frag"), roots, sep)
+        if n_exits <= fragment_rows:
+            quotient = quotient.withColumn("frag", F.lit(0).cast("long"))
+        elif n_exits > 0.7 * before:  # neighbours in locality lead nowhere near each other: cut by kinship instead
+            quotient = _mated(quotient, round_no)
         else:
-            if n_exits <= fragment_rows:
-                merged = F.lit(0).cast("long")
-            else:
-                span = local.agg(F.max("frag") - F.min("frag") + 1).first()[0]
-                merged = F.floor(F.col("frag") / F.lit(max(2, span * fragment_rows // n_exits))).cast("long")
-            inner = _positions(quotient.withColumn("frag", merged), roots, sep, fragment_rows, n_exits)
+            span = local.agg((F.max("frag").cast("decimal(38,0)") - F.min("frag") + 1).cast("decimal(38,0)")).first()[0]
+            quotient = quotient.withColumn("frag", F.floor(F.col("frag") / F.lit(max(2, int(span) * fragment_rows // n_exits))).cast("long"))
+        inner = _positions(quotient, roots, sep, fragment_rows, n_exits, round_no + 1)
         inner = inner.where("not closes").select("root", F.col("node").alias("entry"), F.col("label").alias("prefix"), F.col("depth").alias("over"), F.col("above").alias("before"))
         own = own.unionByName(inner)
     both = own.withColumn("__oh", F.xxhash64("entry")).join(local.withColumn("__lh", F.xxhash64("entry")).withColumnRenamed("entry", "__entry"), (F.col("entry") == F.col("__entry")) & (F.col("__oh") == F.col("__lh")))
@@ -145,9 +134,9 @@ def _positions(links: DataFrame, roots: DataFrame, sep: str, fragment_rows: int,
 def expand_hierarchy(links: DataFrame, roots: DataFrame, parent: str, label: str, child: str, locality: str, root: str, sep: str = "/", fragment_rows: int = 65_536) -> DataFrame:
     """(root, node, label, depth, above, closes): one row per position below each distinct root; ``label`` is the path,
     ``above`` the hashes of the nodes above, the root first. ``locality`` is a long that is close for rows often
-    reached together; ``fragment_rows`` values of it make a fragment. Keys are binary."""
+    reached together; ``fragment_rows`` values of it make a fragment; links without one are spread by hash. Keys are binary."""
     k = F.col(f"`{child}`").cast("binary")
-    edges = links.where(F.col(f"`{parent}`").isNotNull()).groupBy(F.col(f"`{parent}`").cast("binary").alias("parent"), F.coalesce(F.col(f"`{label}`"), F.lit("")).alias("label"), k.alias("child")).agg(F.min(F.coalesce(F.col(f"`{locality}`"), F.lit(0))).alias("__at"))
+    edges = links.where(F.col(f"`{parent}`").isNotNull()).groupBy(F.col(f"`{parent}`").cast("binary").alias("parent"), F.coalesce(F.col(f"`{label}`"), F.lit("")).alias("label"), k.alias("child")).agg(F.min(F.coalesce(F.col(f"`{locality}`").cast("long"), F.shiftrightunsigned(F.xxhash64(F.col(f"`{parent}`").cast("binary")), 16))).alias("__at"))
     edges = edges.select(
         "parent", "label", "child", F.when(F.col("child").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("child")).alias("child_h"), F.lit(1).alias("depth"),
         F.array(F.xxhash64("parent")).alias("via"), F.floor(F.col("__at") / F.lit(fragment_rows)).cast("long").alias("frag"),

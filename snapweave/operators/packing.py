@@ -62,15 +62,15 @@ def nested_index(entries: DataFrame) -> DataFrame:
     return entries.groupBy("pack_id").agg(F.count(F.lit(1)).alias("n_blobs"), F.sum("length").alias("bytes"), blobs.alias("blobs"))
 
 
-def merge_indexes(entries: DataFrame, most: int = MAX_INDEX_BLOBS, range_bits: int = 10) -> DataFrame:
+def merge_indexes(entries: DataFrame, most: int = MAX_INDEX_BLOBS) -> DataFrame:
     """(pack_id, n_blobs, index_no): each pack once, whatever indexes list it, in index files of about ``most`` blobs.
 
-    Packs go in order of id; a file number is the two-level prefix sum of blobs over ``most``, so packs are never all in
-    one task and a file exceeds ``most`` by less than one pack."""
+    Packs go in order of (three hex digits of the SHA-256 of the id, id); a file number is the two-level prefix sum of blobs
+    over ``most``, so packs are never all in one task and a file exceeds ``most`` by less than one pack."""
     packs = entries.dropDuplicates(["pack_id", "blob_id"]).groupBy("pack_id").agg(F.count(F.lit(1)).alias("n_blobs"))
-    packs = packs.withColumn("__r", F.pmod(F.xxhash64("pack_id"), F.lit(1 << range_bits)))
+    packs = packs.withColumn("__r", F.substring(F.sha2(F.col("pack_id").cast("string"), 256), 1, 3))
     base = packs.groupBy("__r").agg(F.sum("n_blobs").alias("t"))
-    base = base.select("__r", (F.sum("t").over(Window.partitionBy(F.lit(0)).orderBy("__r")) - F.col("t")).alias("__base"))  # at most 2^range_bits rows
+    base = base.select("__r", (F.sum("t").over(Window.partitionBy(F.lit(0)).orderBy("__r")) - F.col("t")).alias("__base"))  # at most 4,096 rows, so the broadcast below is bounded
     inside = F.sum("n_blobs").over(Window.partitionBy("__r").orderBy("pack_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_blobs")
     return packs.withColumn("__in", inside).join(F.broadcast(base), "__r").select("pack_id", "n_blobs", F.floor((F.col("__in") + F.col("__base")) / F.lit(most)).cast("long").alias("index_no"))
 

@@ -24,7 +24,7 @@ def with_directories(files: DataFrame) -> DataFrame:
 def tree_ids(files: DataFrame) -> DataFrame:
     """(path, tree_id) of every directory above the files, the root as '/'."""
     own = files.where("path is not null").select(F.col("path"), F.size(F.split("path", "/")).alias("depth"), F.col("node_type").alias("kind"), F.coalesce("content_id", F.lit("")).alias("id"))
-    waiting = written(own, "tree-files")
+    waiting = written(own.repartition("depth", F.pmod(F.xxhash64("path"), F.lit(64))), "tree-files", ["depth"])  # a level reads its own folder only
     deepest = waiting.agg(F.max("depth")).first()[0]
     done: DataFrame | None = None
     above: DataFrame | None = None

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from snapweave.functions.ids import id_key, id_text
-from snapweave.operators.compaction import compact_parquet, plan_block_moves, small_file_blocks
-from snapweave.operators.hierarchy import expand_hierarchy
-from snapweave.operators.references import find_orphans, orphan_summary
+from snapweave.operators.compaction import blocks_with_file_bytes, compact_parquet, move_blocks, plan_block_moves
+from snapweave.operators.hierarchy import descendants, expand_hierarchy
+from snapweave.operators.references import MATCHES, find_orphans, orphan_summary
 from snapweave.operators.snapshot_changes import merge_versions
-from snapweave.session import maybe_broadcast, new_path, read_table, written_small
+from snapweave.session import delete_path, maybe_broadcast, new_path, read_table, written, written_small
 
 #: Fixed values of the store: the largest pack and the share of it below which a pack is small.
 MAX_PACK, SMALL_SHARE = 16_777_216, 0.05
@@ -59,6 +61,23 @@ def p1_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_summary(p1_found(spark, sf_dir))
 
 
+def p1_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries whose references to a pack's place have lost one part or both, under each match semantics: cases by null mask and status."""
+    entries, packs = read_table(spark, sf_dir, "index_entries"), read_table(spark, sf_dir, "index_packs")
+    refs = entries.where("blob_type <> 'padding'").select(
+        F.when(F.col("entry_id") % 7 != 0, F.lower("index_id")).alias("index"), F.when(F.col("entry_id") % 5 != 0, F.col("pack_array_index")).alias("slot"), "entry_id", "loaded_at"
+    )
+    slots = packs.select(F.lower("index_id").alias("index"), F.col("pack_array_index").alias("slot"), "loaded_at", "deleted_at")
+    out: DataFrame | None = None
+    for match in MATCHES:
+        found = find_orphans(refs, slots, [("index", "index"), ("slot", "slot")], match, "loaded_at", "loaded_at", F.col("deleted_at").isNull())
+        found = found.groupBy(F.lit(match).alias("match"), F.col("index").isNotNull().alias("has_index"), F.col("slot").isNotNull().alias("has_slot"), "status").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entry_id").alias("n_entries")
+        )
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directory positions below each distinct snapshot tree. Nodes are numbered as they were written, so the nodes of
     one backed-up set lie together: the locality of the links."""
@@ -68,34 +87,63 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(id_text("root").alias("root_tree"), F.col("label").alias("dir_path"), "depth", F.col("closes").cast("int").alias("closes_cycle"))
 
 
-def pack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pack, blob, blob_length) for each live entry and the pack it points to; repeated rows stay."""
+def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many directories lie how far below the directories of each root: every node counts under each node above it."""
+    links = read_table(spark, sf_dir, "tree_nodes").where("node_type = 'directory'").select(id_key("tree_id").alias("parent"), "name", id_key("tree").alias("child"), "node_id")
+    roots = read_table(spark, sf_dir, "snapshots").select(id_key("tree").alias("root"))
+    below = descendants(expand_hierarchy(links, roots, "parent", "name", "child", "node_id", "root"))
+    return below.groupBy("root", "depth_below").agg(F.count(F.lit(1)).alias("n")).select(id_text("root").alias("root_tree"), "depth_below", "n")
+
+
+def pack_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pack, blob, blob_length, blob_offset) for each live entry and the pack it points to; repeated rows stay."""
     entries = read_table(spark, sf_dir, "index_entries").where("deleted_at is null and blob_type <> 'padding' and not coalesce(is_pending, false)")
     packs = read_table(spark, sf_dir, "index_packs").where("deleted_at is null")
     slots = packs.select(id_key("index_id").alias("index"), F.col("pack_array_index").alias("slot"), id_key("pack_id").alias("pack")).distinct()
-    return entries.select(id_key("index_id").alias("index"), F.col("pack_array_index").alias("slot"), id_key("blob_id").alias("blob"), "blob_length").join(slots, ["index", "slot"]).select("pack", "blob", "blob_length")
+    own = entries.select(id_key("index_id").alias("index"), F.col("pack_array_index").alias("slot"), id_key("blob_id").alias("blob"), "blob_length", "blob_offset")
+    return own.join(slots, ["index", "slot"]).select("pack", "blob", "blob_length", "blob_offset")
+
+
+def pack_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_places(spark, sf_dir).select("pack", "blob", "blob_length")
 
 
 def blobs_to_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pack, blob, blob_length): each distinct blob of a small pack once, from the smallest pack id."""
-    small = small_file_blocks(pack_blocks(spark, sf_dir), "pack", "blob", "blob_length", MAX_PACK * SMALL_SHARE)
+    """(pack, blob, blob_length): each distinct blob of a small pack once, from the smallest pack id.
+
+    The listing of all packs is written with the bytes of its pack beside each blob, every task's file in order of them. Its
+    compaction copies the encoded row groups of small packs, as the statistics in the footers tell them, into few files; what
+    comes out is the listing of the small packs."""
+    parts, whole = new_path(spark, "p4-parts"), new_path(spark, "p4-small")
+    rows = blocks_with_file_bytes(pack_blocks(spark, sf_dir), "pack", "blob", "blob_length").sortWithinPartitions("file_bytes", "pack")
+    rows.write.option("compression", "zstd").option("parquet.block.size", 1 << 20).parquet(parts)
+    compact_parquet(spark, parts, whole, below=("file_bytes", math.ceil(MAX_PACK * SMALL_SHARE)))
+    delete_path(spark, parts)
+    small = spark.read.schema(rows.schema).parquet(whole)
     return small.groupBy("blob").agg(F.min(F.struct("pack", "blob_length")).alias("x")).select("x.pack", "blob", "x.blob_length")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rewrite list of the small packs. The tasks write it as many small files; these are consolidated by copying
-    their encoded column chunks, and the list is read from the consolidated files."""
-    parts, whole = new_path(spark, "p4-parts"), new_path(spark, "p4-list")
-    rows = blobs_to_rewrite(spark, sf_dir).select(id_text("pack").alias("pack_id"), id_text("blob").alias("blob_id"))
-    rows.write.option("compression", "zstd").parquet(parts)
-    compact_parquet(spark, parts, whole)
-    return spark.read.schema(rows.schema).parquet(whole)
+    """The rewrite list of the small packs."""
+    return blobs_to_rewrite(spark, sf_dir).select(id_text("pack").alias("pack_id"), id_text("blob").alias("blob_id"))
+
+
+def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan_block_moves(blobs_to_rewrite(spark, sf_dir), "pack", "blob", "blob_length", MAX_PACK)
 
 
 def p4_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packs to write: blobs and bytes of each, from the planned place of every block."""
-    moves = plan_block_moves(blobs_to_rewrite(spark, sf_dir), "pack", "blob", "blob_length", MAX_PACK)
-    return moves.groupBy("target_no").agg(F.count(F.lit(1)).alias("n_blobs"), F.sum("blob_length").alias("n_bytes"), F.max(F.col("target_offset") + F.col("blob_length")).alias("end_offset"))
+    return _moves(spark, sf_dir).groupBy("target_no").agg(F.count(F.lit(1)).alias("n_blobs"), F.sum("blob_length").alias("n_bytes"), F.max(F.col("target_offset") + F.col("blob_length")).alias("end_offset"))
+
+
+def p4_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The new packs made of the packs whose bytes are given: size and content of each."""
+    packs = read_table(spark, sf_dir, "packs").where("data is not null").groupBy(id_key("pack_id").alias("pack")).agg(F.min("data").alias("data"))
+    at = pack_places(spark, sf_dir).groupBy("pack", "blob").agg(F.min("blob_offset").alias("offset"))
+    own = blobs_to_rewrite(spark, sf_dir).join(packs.select("pack"), "pack", "left_semi")
+    made = move_blocks(plan_block_moves(own, "pack", "blob", "blob_length", MAX_PACK), at, packs, "pack", "blob", "blob_length")
+    return made.select("target_no", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("content"))
 
 
 def listing_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +160,7 @@ def listing_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed changes between consecutive listings. A set is named by its first snapshot; the state of a node is the text
     of its compared fields, with the SHA-256 of the blob list where that has more than one blob."""
-    versions, small = written_small(listing_versions(spark, sf_dir), "p5-versions", row_bytes=100)
+    versions, small = written_small(listing_versions(spark, sf_dir), "p5-versions")
     blobs = F.lower(F.array_join("blobs", ",", "\\N"))
     state = F.concat_ws(
         "|", F.coalesce("node_type", F.lit("\\N")), F.coalesce(F.col("size").cast("string"), F.lit("\\N")), F.coalesce(F.unix_micros(F.col("modified_time").cast("timestamp")).cast("string"), F.lit("\\N")),
@@ -121,12 +169,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         id_key("snapshot_id").alias("snap"), F.regexp_replace("path", r"^\./", "").alias("path"), "loaded_at",
         F.when(F.coalesce(F.size("blobs"), F.lit(0)) <= 0, F.encode(state, "UTF-8")).otherwise(F.concat(F.encode(state, "UTF-8"), F.unhex(F.sha2(blobs, 256)))).alias("state"),
     )
-    rows = listed.join(maybe_broadcast(versions, small), "snap")
+    # written: finding the ranges reads group and path only, and no state is computed twice
+    rows = written(listed.join(maybe_broadcast(versions, small), "snap"), "p5-listings")
     changes = merge_versions(rows, "set", "path", "seq", "last", "state", "loaded_at")
     ends = versions.select("set", "seq", "snap")
     prev = ends.select("set", (F.col("seq") + 1).alias("seq"), F.col("snap").alias("prev"))
-    pairs = ends.join(prev, ["set", "seq"])
-    return changes.join(maybe_broadcast(pairs, small), ["set", "seq"]).select(id_text("prev").alias("prev_snapshot"), id_text("snap").alias("next_snapshot"), "path", "change")
+    pairs, few = written_small(ends.join(prev, ["set", "seq"]), "p5-pairs")
+    return changes.join(maybe_broadcast(pairs, few), ["set", "seq"]).select(id_text("prev").alias("prev_snapshot"), id_text("snap").alias("next_snapshot"), "path", "change")
 
 
 _REFS_SQL = """
@@ -162,6 +211,17 @@ s AS (SELECT pack_id FROM h GROUP BY 1 HAVING sum(len) / 16777216 < 0.05)
 SELECT min(pack_id) AS pack_id, blob_id FROM h WHERE pack_id IN (FROM s) GROUP BY blob_id
 """
 
+_P4_MOVES = _P4_SQL.replace("SELECT min(pack_id) AS pack_id, blob_id FROM h WHERE pack_id IN (FROM s) GROUP BY blob_id", """,
+w AS (SELECT min(pack_id) AS pack_id, blob_id, arg_min(len, pack_id)::BIGINT AS len FROM h WHERE pack_id IN (FROM s) GROUP BY blob_id{only}),
+o AS (SELECT *, substr(sha256(unhex(pack_id)), 1, 3) || substr(sha256(unhex(blob_id)), 1, 1) AS r FROM w),
+a AS (SELECT *, (sum(len) OVER (ORDER BY r, pack_id, blob_id ROWS UNBOUNDED PRECEDING) - len)::BIGINT AS pos FROM o),
+m AS (SELECT *, pos // 16777216 AS target_no FROM a), f AS (SELECT *, pos - min(pos) OVER (PARTITION BY target_no) AS target_offset FROM m)
+""")
+_P4_GIVEN = """, d AS (SELECT lower(pack_id) AS pack_id, min(data) AS data FROM packs WHERE data IS NOT NULL GROUP BY 1),
+b AS (SELECT lower(pack_id) AS pack_id, lower(blob_id) AS blob_id, min(blob_offset) AS pos_in FROM index_entries e JOIN index_packs p ON lower(e.index_id) = lower(p.index_id) AND e.pack_array_index = p.pack_array_index
+  WHERE e.deleted_at IS NULL AND p.deleted_at IS NULL AND blob_type <> 'padding' AND NOT coalesce(is_pending, false) GROUP BY ALL)
+"""
+
 _P3_SQL = """
 WITH RECURSIVE e AS (SELECT DISTINCT lower(tree_id) AS p, coalesce(name, '') AS name, lower(tree) AS c FROM tree_nodes WHERE node_type = 'directory' AND tree_id IS NOT NULL),
 w(r, t, path, d, above, cyc) AS (
@@ -170,12 +230,31 @@ w(r, t, path, d, above, cyc) AS (
 SELECT r AS root_tree, path AS dir_path, d AS depth, cyc AS closes_cycle FROM w WHERE d > 0
 """
 
+_MASKS_SQL = """
+WITH r AS (SELECT entry_id, loaded_at AS t, CASE WHEN entry_id % 7 <> 0 THEN lower(index_id) END AS i, CASE WHEN entry_id % 5 <> 0 THEN pack_array_index END AS s FROM index_entries WHERE blob_type <> 'padding'),
+k AS (SELECT lower(index_id) AS i, pack_array_index AS s, deleted_at IS NULL AS live, loaded_at AS f FROM index_packs),
+k3 AS (SELECT i, s, bool_or(live) AS live, min(f) AS f FROM k WHERE i IS NOT NULL AND s IS NOT NULL GROUP BY ALL),
+k1 AS (SELECT i, bool_or(live) AS live, min(f) AS f FROM k WHERE i IS NOT NULL GROUP BY ALL), k2 AS (SELECT s, bool_or(live) AS live, min(f) AS f FROM k WHERE s IS NOT NULL GROUP BY ALL),
+j AS (SELECT r.*, 3 AS mask, live, f FROM r LEFT JOIN k3 ON r.i = k3.i AND r.s = k3.s WHERE r.i IS NOT NULL AND r.s IS NOT NULL
+  UNION ALL SELECT r.*, 1, live, f FROM r LEFT JOIN k1 ON r.i = k1.i WHERE r.i IS NOT NULL AND r.s IS NULL
+  UNION ALL SELECT r.*, 2, live, f FROM r LEFT JOIN k2 ON r.s = k2.s WHERE r.i IS NULL AND r.s IS NOT NULL),
+v AS (SELECT *, CASE WHEN live IS NULL THEN 'missing' WHEN NOT live THEN 'deleted' WHEN f > t THEN 'late' END AS status FROM j),
+m AS (SELECT 'partial' AS match, * FROM v UNION ALL SELECT x, v.* FROM v, (VALUES ('simple'), ('full')) q(x) WHERE mask = 3
+  UNION ALL SELECT 'full', r.*, 0, NULL, NULL, 'malformed' FROM r WHERE (i IS NULL) <> (s IS NULL))
+SELECT match, i IS NOT NULL AS has_index, s IS NOT NULL AS has_slot, status, count(*) AS n_rows, count(DISTINCT entry_id) AS n_entries FROM m WHERE status IS NOT NULL GROUP BY ALL
+"""
+
 SQL = {
+    "p1_masks": _MASKS_SQL,
+    "p3_descendants": _P3_SQL.replace("SELECT r AS root_tree, path AS dir_path, d AS depth, cyc AS closes_cycle FROM w WHERE d > 0", "SELECT root_tree, depth_below, count(*) AS n FROM (SELECT r AS root_tree, unnest(range(1, d + 1))::INT AS depth_below FROM w WHERE d > 0) GROUP BY ALL"),
     "p3_found": _P3_SQL,
     "p4_found": _P4_SQL,
+    "p4_targets": _P4_MOVES.format(only="") + "SELECT target_no, count(*) AS n_blobs, sum(len)::BIGINT AS n_bytes, max(target_offset + len)::BIGINT AS end_offset FROM f GROUP BY 1",
+    "p4_packs": _P4_MOVES.format(only=" HAVING min(pack_id) IN (SELECT lower(pack_id) FROM packs WHERE data IS NOT NULL)") + _P4_GIVEN
+    + "SELECT target_no, sum(strlen(x) // 2)::BIGINT AS n_bytes, sha256(unhex(string_agg(x, '' ORDER BY target_offset, blob_id))) AS content FROM (SELECT *, substr(hex(data), 2 * pos_in + 1, 2 * len) AS x FROM f JOIN d USING (pack_id) JOIN b USING (pack_id, blob_id)) GROUP BY 1",
     "p5_found": _P5_SQL,
     "p1_found": _REFS_SQL + "SELECT ref_table, ref_field, record_key, k AS missing_key, strftime(t, '%Y-%m') AS period, status FROM f WHERE status IS NOT NULL",
     "p1_summary": _REFS_SQL + "SELECT ref_table, ref_field, strftime(t, '%Y-%m') AS period, status, count(*) AS n_refs, count(DISTINCT k) AS n_keys FROM f WHERE status IS NOT NULL GROUP BY ALL",
 }
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_targets": p4_targets, "p5_found": p5_found, "p1_found": p1_found, "p1_summary": p1_summary}
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_targets": p4_targets, "p4_packs": p4_packs, "p5_found": p5_found, "p3_descendants": p3_descendants, "p1_found": p1_found, "p1_summary": p1_summary, "p1_masks": p1_masks}

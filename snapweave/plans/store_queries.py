@@ -287,16 +287,26 @@ def blob_lookup(spark, d):
     return dedup.blob_lookup(V.refs(spark, d), located).select("blob_id", "pack_id", "offset")
 
 
-@query(_IX + "SELECT pack_id, count(*) AS n_blobs, sum(length)::BIGINT AS bytes FROM ix GROUP BY 1")
+@query(
+    _IX
+    + """, o AS (SELECT *, (sum(length) OVER (PARTITION BY pack_id ORDER BY seq, blob_id ROWS UNBOUNDED PRECEDING) - length)::BIGINT AS pos FROM ix)
+SELECT pack_id, count(*) AS n_blobs, sum(length)::BIGINT AS bytes, string_agg(pos || ':' || blob_id || ':' || blob_type || ':' || length, ',' ORDER BY pos, blob_id) AS blobs FROM o GROUP BY 1"""
+)
 def index_nested(spark, d):
     located = packing.with_offsets(V.index_entries(spark, d), "pack_id", ["seq", "blob_id"], "length")
-    return packing.nested_index(located).select("pack_id", "n_blobs", "bytes")
+    text = lambda x: F.concat_ws(":", x["offset"].cast("string"), x["blob_id"], x["blob_type"], x["length"].cast("string"))
+    return packing.nested_index(located).select("pack_id", "n_blobs", "bytes", F.array_join(F.transform("blobs", text), ",").alias("blobs"))
 
 
-@query(_IX + "SELECT pack_id, count(DISTINCT blob_id) AS n_blobs FROM ix GROUP BY 1")
+@query(
+    _IX
+    + """, p AS (SELECT pack_id, count(DISTINCT blob_id) AS n_blobs, substr(sha256(pack_id::VARCHAR), 1, 3) AS r FROM ix GROUP BY ALL)
+SELECT pack_id, n_blobs, ((sum(n_blobs) OVER (ORDER BY r, pack_id ROWS UNBOUNDED PRECEDING) - n_blobs) // 4096)::BIGINT AS index_no FROM p"""
+)
 def index_merge(spark, d):
+    """Index files of 4,096 blobs each, so that there are several at every scale."""
     one = V.index_entries(spark, d)
-    return packing.merge_indexes(one.unionByName(one.where("pack_id % 3 = 0"))).select("pack_id", "n_blobs")
+    return packing.merge_indexes(one.unionByName(one.where("pack_id % 3 = 0")), most=4096)
 
 
 @query(

@@ -47,10 +47,16 @@ def written(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written_small(df: DataFrame, tag: str, row_bytes: int, limit: int = BROADCAST_LIMIT) -> tuple[DataFrame, bool]:
-    """``df`` written, and whether its rows, at ``row_bytes`` each, stay below the broadcast limit."""
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the rows of ``df`` as they lie in memory: 8 per column and the lengths of texts and binaries, 24 per row on top."""
+    long = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    return df.agg(F.coalesce(F.sum(sum(long, F.lit(24 + 8 * len(df.columns)))), F.lit(0)).cast("long")).first()[0]
+
+
+def written_small(df: DataFrame, tag: str, limit: int | None = None) -> tuple[DataFrame, bool]:
+    """``df`` written, and whether its measured bytes stay below the broadcast limit."""
     out = written(df, tag)
-    return out, out.count() * row_bytes <= limit
+    return out, measured_bytes(out) <= (BROADCAST_LIMIT if limit is None else limit)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -9,10 +9,11 @@ from __future__ import annotations
 import struct
 
 MAGIC = b"PAR1"
-# Fixed values of the Parquet format: field ids of FileMetaData, RowGroup, ColumnChunk and ColumnMetaData.
+# Fixed values of the Parquet format: field ids of FileMetaData, RowGroup, ColumnChunk, ColumnMetaData and Statistics.
 SCHEMA, NUM_ROWS, ROW_GROUPS, KEY_VALUES = 2, 3, 4, 5
 RG_COLUMNS, RG_ROWS, RG_FILE_OFFSET, RG_ORDINAL = 1, 3, 5, 7
 CC_FILE_PATH, CC_FILE_OFFSET, CC_META, CC_INDEX_FIELDS = 1, 2, 3, (4, 5, 6, 7)
+CM_PATH, CM_STATISTICS, ST_MAX, ST_MIN, ST_NULLS = 3, 12, 5, 6, 3
 CM_VALUES, CM_COMPRESSED, CM_DATA_PAGE, CM_INDEX_PAGE, CM_DICT_PAGE, CM_BLOOM_FIELDS = 5, 7, 9, 10, 11, (14, 15)
 # Fixed values of the compact protocol: wire types.
 TRUE, FALSE, BYTE, I16, I32, I64, DOUBLE, BINARY, LIST, SET, MAP, STRUCT = range(1, 13)
@@ -150,8 +151,50 @@ def chunk_start(cm: dict) -> int:
     return min(starts)
 
 
+def bounds(group: dict, column: str) -> tuple[int, int] | None:
+    """Least and greatest value of a 64-bit integer column in a row group, if its statistics are there and it has no nulls."""
+    for chunk in group[RG_COLUMNS][1][1]:
+        cm = chunk[CC_META][1]
+        if [x.decode() for x in cm[CM_PATH][1][1]] == [column] and CM_STATISTICS in cm:
+            st = cm[CM_STATISTICS][1]
+            if ST_MIN in st and ST_MAX in st and len(st[ST_MIN][1]) == len(st[ST_MAX][1]) == 8 and st.get(ST_NULLS, (I64, 0))[1] == 0:
+                return struct.unpack("<q", st[ST_MIN][1])[0], struct.unpack("<q", st[ST_MAX][1])[0]
+    return None
+
+
+def side_data(f, chunk: dict) -> dict[str, bytes]:
+    """The bytes of a column chunk that lie outside it: its column index, offset index and Bloom filter, those there are."""
+    cm, out = chunk[CC_META][1], {}
+    for name, (at, length), where in (("offsets", (4, 5), chunk), ("columns", (6, 7), chunk), ("bloom", CM_BLOOM_FIELDS, cm)):
+        if at in where and length in where:
+            f.seek(where[at][1])
+            out[name] = f.read(where[length][1])
+    return out
+
+
+def moved_offsets(offsets: bytes, delta: int) -> bytes:
+    """An offset index whose pages lie ``delta`` bytes further on."""
+    index = read_struct(offsets)[0]
+    pages = [dict(p) | {1: (I64, p[1][1] + delta)} for p in index[1][1][1]]
+    out = bytearray()
+    write_struct(index | {1: (LIST, (STRUCT, pages))}, out)
+    return bytes(out)
+
+
+def put_side_data(out, at: int, groups: list[dict], sides: list[list[dict[str, bytes]]]) -> int:
+    """Writes the side data of moved row groups at ``at`` and points their chunks to it; the place after it."""
+    for group, side in zip(groups, sides):
+        for chunk, data in zip(group[RG_COLUMNS][1][1], side):
+            for name, (where, length), to in (("bloom", CM_BLOOM_FIELDS, chunk[CC_META][1]), ("columns", (6, 7), chunk), ("offsets", (4, 5), chunk)):
+                if name in data:
+                    out.write(data[name])
+                    to[where], to[length] = (I64, at), (I32, len(data[name]))
+                    at += len(data[name])
+    return at
+
+
 def move_row_group(group: dict, delta_of: list[int], ordinal: int) -> dict:
-    """``group`` with its column chunks moved by ``delta_of`` bytes each; references to page indexes and bloom filters, which are not copied, go."""
+    """``group`` with its column chunks moved by ``delta_of`` bytes each, as yet without references to page indexes and Bloom filters."""
     columns = []
     for chunk, delta in zip(group[RG_COLUMNS][1][1], delta_of):
         chunk = {k: v for k, v in chunk.items() if k not in CC_INDEX_FIELDS}

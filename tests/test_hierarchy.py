@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from snapweave.operators import hierarchy as H
 
@@ -56,12 +55,15 @@ def test_random_graphs_across_fragments(spark):
     assert run(spark, links, ["n0", "n3"], 10) == brute(links, ["n0", "n3"])
 
 
-def test_frontier_gives_the_same(spark, monkeypatch):
-    links, roots = CASES["cycles"]
-    df = spark.createDataFrame([(p.encode(), n, c.encode()) for p, n, c, _ in links], "parent binary, label string, child binary")
-    df = df.select("parent", "label", "child", F.xxhash64("child").alias("child_h"), F.lit(1).alias("depth"), F.array(F.xxhash64("parent")).alias("via"))
-    got = H._frontier(df, spark.createDataFrame([(r.encode(),) for r in roots], "root binary"), "/")
-    assert sorted((bytes(x["root"]).decode(), x["label"], x["depth"], x["closes"]) for x in got.collect()) == brute(links, roots)
+def test_without_locality_random_mates_contract(spark, monkeypatch):
+    """Localities at random: no cut by ranges shrinks the graph, so kinship has to; with cycles and shared nodes in it."""
+    rng = random.Random(5)
+    links = [(f"n{i}", f"d{i}", f"n{i + 1}", rng.randint(0, 10**6)) for i in range(60)] + [("n7", "again", "n3", 5), ("n9", "side", "n40", 10**5), ("n12", "none", None, None)]
+    used = []
+    real = H._mated
+    monkeypatch.setattr(H, "_mated", lambda df, n: used.append(n) or real(df, n))
+    assert run(spark, links, ["n0", "n30"], 6) == brute(links, ["n0", "n30"])
+    assert used
 
 
 def test_descendants(spark):
