@@ -89,7 +89,17 @@ def _mated(links: DataFrame, round_no: int) -> DataFrame:
     heads = lambda c: F.pmod(F.xxhash64(F.lit(round_no), c), F.lit(2)) == 0
     mates = links.where(heads("parent") & ~heads("child")).groupBy("child_h").agg(F.min(F.xxhash64("parent")).alias("mate")).withColumnRenamed("child_h", "__node_h")
     near = links.join(mates, (F.xxhash64("parent") == F.col("__node_h")) & ~heads("parent"), "left")
-    return near.withColumn("frag", F.coalesce("mate", F.xxhash64("parent"))).drop("mate", "__node_h")
+    return near.withColumn("frag", -1 - F.pmod(F.coalesce("mate", F.xxhash64("parent")), F.lit(1 << 40))).drop("mate", "__node_h")
+
+
+def _merged_ranges(links: DataFrame, fragment_rows: int) -> DataFrame:
+    """``links`` with neighbouring fragments merged to about ``fragment_rows`` links each; fragments by locality (from 0 up) and those by
+    hash (below 0) by their own density."""
+    factor = {True: 2, False: 2}
+    for r in links.groupBy((F.col("frag") < 0).alias("neg")).agg(F.min("frag").alias("lo"), F.max("frag").alias("hi"), F.count(F.lit(1)).alias("n")).collect():  # two rows
+        factor[r["neg"]] = max(2, (r["hi"] - r["lo"] + 1) * fragment_rows // r["n"])
+    down = -1 - F.floor((-1 - F.col("frag")) / F.lit(factor[True]))
+    return links.withColumn("frag", F.when(F.col("frag") < 0, down).otherwise(F.floor(F.col("frag") / F.lit(factor[False]))).cast("long"))
 
 
 def _positions(links: DataFrame, roots: DataFrame, sep: str, fragment_rows: int, before: float, round_no: int = 0) -> DataFrame:
@@ -118,8 +128,7 @@ def _positions(links: DataFrame, roots: DataFrame, sep: str, fragment_rows: int,
         elif n_exits > 0.7 * before:  # neighbours in locality lead nowhere near each other: cut by kinship instead
             quotient = _mated(quotient, round_no)
         else:
-            span = local.agg((F.max("frag").cast("decimal(38,0)") - F.min("frag") + 1).cast("decimal(38,0)")).first()[0]
-            quotient = quotient.withColumn("frag", F.floor(F.col("frag") / F.lit(max(2, int(span) * fragment_rows // n_exits))).cast("long"))
+            quotient = _merged_ranges(quotient, fragment_rows)
         inner = _positions(quotient, roots, sep, fragment_rows, n_exits, round_no + 1)
         inner = inner.where("not closes").select("root", F.col("node").alias("entry"), F.col("label").alias("prefix"), F.col("depth").alias("over"), F.col("above").alias("before"))
         own = own.unionByName(inner)
@@ -136,10 +145,10 @@ def expand_hierarchy(links: DataFrame, roots: DataFrame, parent: str, label: str
     ``above`` the hashes of the nodes above, the root first. ``locality`` is a long that is close for rows often
     reached together; ``fragment_rows`` values of it make a fragment; links without one are spread by hash. Keys are binary."""
     k = F.col(f"`{child}`").cast("binary")
-    edges = links.where(F.col(f"`{parent}`").isNotNull()).groupBy(F.col(f"`{parent}`").cast("binary").alias("parent"), F.coalesce(F.col(f"`{label}`"), F.lit("")).alias("label"), k.alias("child")).agg(F.min(F.coalesce(F.col(f"`{locality}`").cast("long"), F.shiftrightunsigned(F.xxhash64(F.col(f"`{parent}`").cast("binary")), 16))).alias("__at"))
+    edges = links.where(F.col(f"`{parent}`").isNotNull()).groupBy(F.col(f"`{parent}`").cast("binary").alias("parent"), F.coalesce(F.col(f"`{label}`"), F.lit("")).alias("label"), k.alias("child")).agg(F.min(F.col(f"`{locality}`").cast("long")).alias("__at"))
     edges = edges.select(
         "parent", "label", "child", F.when(F.col("child").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("child")).alias("child_h"), F.lit(1).alias("depth"),
-        F.array(F.xxhash64("parent")).alias("via"), F.floor(F.col("__at") / F.lit(fragment_rows)).cast("long").alias("frag"),
+        F.array(F.xxhash64("parent")).alias("via"), F.coalesce(F.floor(F.abs("__at") / F.lit(fragment_rows)).cast("long"), -1 - F.pmod(F.xxhash64("parent"), F.lit(1 << 40))).alias("frag"),
     )
     starts = roots.where(F.col(f"`{root}`").isNotNull()).select(F.col(f"`{root}`").cast("binary").alias("root")).distinct()
     return _positions(edges, starts, sep, fragment_rows, float("inf"))
