@@ -48,8 +48,8 @@ def test_units_leave_out_only_whitespace(model):
 
 
 def test_pairs():
-    closes, depth = S.pairs_of("a \"b\" (c 'd') l'e „f“ “g” « h »")
-    assert len(closes) == 6 and depth[-1] == 0
+    closes, spans = S.pairs_of("a \"b\" (c 'd') l'e „f“ “g” « h »")
+    assert len(closes) == 6 and spans == [(2, 4), (6, 12), (18, 20), (22, 24), (26, 30)]
     assert S.pairs_of("1) no )( pairs \" here")[0] == {}
 
 
@@ -74,3 +74,31 @@ def test_operator(spark, model):
     assert len([r for r in trained if r["doc_id"] == 4]) == len(ENGLISH)
     assert S.sentence_units(docs.limit(0)).collect() == []
     assert S.train([]) == S.START_WEIGHTS
+
+
+def test_blanks_of_scripts_without_marks_have_context():
+    """Thai and Lao have no marks to go by: the letters and lengths around a blank are features, and training leaves only them."""
+    s = "แมวนอน หมากิน"
+    (cand,) = S.candidates(s)
+    assert {"l1=น", "l2=อน", "r2=หม", "lr=นห", "n<3", "n>3"} <= set(S.features(s, cand))
+    assert len(S.candidates("ແມວນອນ ໝາກິນ")) == 1 and S.candidates("ab cd") == []
+    weights = S.train(["\n".join(f"- {x}." for x in ("แมวนอนที่บ้าน", "หมากินข้าว", "นกบินสูง"))] * 5)
+    assert S.split_units("นกบินสูง แมวนอนที่บ้าน", weights) == [(0, 8), (9, 22)]
+
+
+def test_scores_are_those_of_the_features():
+    weights = {f: (hash(f) % 97) / 10 for f in ("b", "m=.", "n=U", "w=etc|.", "v=and|short", "unknown|short", "f=the|.|False", "n=l", "m=!")}
+    scorer = S.Scorer(weights, most=5)
+    for s in ("this and etc. The end! no. 5 v. 3.", "„Is it?“ he said. (Yes.) No."):
+        for cand in S.candidates(s):
+            assert abs(scorer(s, cand) - S.score(weights, S.features(s, cand, weights))) < 1e-9
+
+
+def test_the_sample_is_bounded_and_models_are_kept(spark, tmp_path):
+    rows = [(i, f"- item {i}\n- other {i}") for i in range(50)] + [(99, "- " + "x" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(S.training_sample(docs, "doc_id", "text", 10)) == 10
+    few = S.training_sample(docs, "doc_id", "text", 100, max_bytes=64 * 30)
+    assert 0 < sum(len(t) for t in few) <= 64 * 30 and all(len(t) < 64 for t in few)
+    S.save_model({"b": 1.5, "é": -2.0}, str(tmp_path / "model.json"))
+    assert S.load_model(str(tmp_path / "model.json")) == {"b": 1.5, "é": -2.0}
