@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,17 @@ def gear_table() -> list[int]:
 
 
 GEAR = gear_table()
+_GEAR = np.array(GEAR, np.uint64)
+
+
+def _rolling(numbers: np.ndarray) -> np.ndarray:
+    """The hash after each byte of a run: shifted out after 64 bytes, so six doublings of the window give it for all bytes at once."""
+    h = numbers.copy()
+    for k in range(6):
+        w = 1 << k
+        if len(h) > w:
+            h[w:] += h[:-w] << np.uint64(w)
+    return h
 
 
 def _mask(bits: int) -> int:
@@ -36,21 +48,23 @@ def cut_points(data: bytes, least: int = MIN_CHUNK, average: int = AVG_CHUNK, mo
     if not 0 < least <= average <= most:
         raise ValueError("0 < least <= average <= most")
     bits = average.bit_length() - 1
-    strict, loose = _mask(bits + level), _mask(max(1, bits - level))
+    strict, loose = np.uint64(_mask(bits + level)), np.uint64(_mask(max(1, bits - level)))
     ends, start, n = [], 0, len(data)
+    numbers = _GEAR[np.frombuffer(data, np.uint8)] if n > least else _GEAR[:0]
+    step = max(4096, average)
     while n - start > least:
-        stop, middle = min(n, start + most), min(n, start + average)
-        h, at = 0, start + least
-        mask = strict
-        while at < stop:
-            if at >= middle:
-                mask = loose
-            h = (h << 1) + GEAR[data[at]] & 0xFFFFFFFFFFFFFFFF
-            at += 1
-            if not h & mask:
+        stop, middle, first = min(n, start + most), min(n, start + average), start + least
+        end = stop
+        for lo in range(first, stop, step):
+            hi = min(lo + step, stop)
+            h = _rolling(numbers[max(first, lo - 63) : hi])[lo - max(first, lo - 63) :]
+            split = min(max(middle - lo, 0), len(h))
+            hits = np.concatenate([np.flatnonzero(h[:split] & strict == 0), split + np.flatnonzero(h[split:] & loose == 0)])
+            if len(hits):
+                end = lo + int(hits[0]) + 1
                 break
-        ends.append(at)
-        start = at
+        ends.append(end)
+        start = end
     if start < n or not ends:
         ends.append(n)
     return ends

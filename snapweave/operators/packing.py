@@ -75,6 +75,18 @@ def merge_indexes(entries: DataFrame, most: int = MAX_INDEX_BLOBS) -> DataFrame:
     return packs.withColumn("__in", inside).join(F.broadcast(base), "__r").select("pack_id", "n_blobs", F.floor((F.col("__in") + F.col("__base")) / F.lit(most)).cast("long").alias("index_no"))
 
 
+def ordered_positions(df: DataFrame, order: list, out_col: str = "position") -> DataFrame:
+    """``df`` with the place of each row in the whole order, from 0. Rows are range-partitioned and written, numbered within a
+    range and shifted by the counts of the ranges before it: no task sees all rows. Equal rows of the order take any of their places."""
+    keys = [f"__o{i}" for i in range(len(order))]
+    placed = df.select("*", *[c.alias(k) for c, k in zip(order, keys)]).repartitionByRange(*keys).withColumn("__p", F.spark_partition_id())
+    placed = written(placed, "positions")
+    counts = placed.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
+    base = counts.select("__p", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("__p")) - F.col("n")).alias("__base"))  # one row per range
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(*keys)) - 1
+    return placed.withColumn("__i", place).join(base, "__p").withColumn(out_col, F.col("__i") + F.col("__base")).drop("__p", "__i", "__base", *keys)
+
+
 def first_seen_ordinals(df: DataFrame, value_col: str, seq_col: str) -> DataFrame:
     """(value, ordinal): values numbered from 0 in the order in which they first appear; ties by value, nulls left out.
 

@@ -154,7 +154,22 @@ class Store:
 
     def forget(self, ids: DataFrame) -> None:
         """Marks snapshots (snapshot_id) as removed; their rows stay until ``clean``."""
-        self._append(ids.select("snapshot_id").join(self.snapshots().select("snapshot_id"), "snapshot_id", "left_semi").distinct(), "removed")
+        asked = written(ids.select(F.lower("snapshot_id").alias("snapshot_id")).where("snapshot_id is not null").distinct(), "asked")
+        unknown = asked.join(self.snapshots().select("snapshot_id"), "snapshot_id", "left_anti").take(1)
+        if unknown:
+            raise KeyError(f"{unknown[0][0]!r} names no snapshot")
+        self._append(asked, "removed")
+
+    def forget_by(self, keep: list, dry_run: bool = False, clean: bool = False) -> DataFrame:
+        """Forgets the snapshots that no rule keeps; ``keep``: functions from the snapshots to those kept, as in operators.retention.
+        Returns the plan (snapshot_id, keep); a dry run changes nothing; ``clean`` collects the garbage at once."""
+        known = self.snapshots()
+        plan = written(retention.forget_plan(known, [rule(known) for rule in keep]).select("snapshot_id", "keep"), "forget")
+        if not dry_run:
+            self.forget(plan.where("not keep"))
+            if clean:
+                self.clean()
+        return plan
 
     def amend(self, snapshot_id: str, ts: datetime, exclude: list[str] | None = None, tags: list[str] | None = None, description: str | None = None) -> str:
         """Writes the snapshot anew under a new id, without the excluded paths or with other tags; the old one is forgotten last."""
@@ -201,6 +216,10 @@ class Store:
         self.fs.move(f"{self.path}/manifest.tmp", f"{self.path}/manifest.json")
         return gc.plan_summary(plan)
 
+    def unreferenced(self) -> DataFrame:
+        """(blob_id): blobs of the index that no snapshot refers to."""
+        return self.table("index").select("blob_id").distinct().join(self.references().select("blob_id"), "blob_id", "left_anti")
+
     def verify(self) -> DataFrame:
         """(snapshot_id, n_missing, n_corrupt) for each snapshot, however many of them share a bad blob."""
         refs = self.references()

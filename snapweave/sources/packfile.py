@@ -39,6 +39,19 @@ def build_pack(blobs: list[tuple[bytes, str, bytes]]) -> bytes:
     return b"".join(data for _, _, data in blobs) + encoded + struct.pack("<I", len(encoded))
 
 
+def build_packs(blobs: DataFrame, pack_col: str, order_col: str, id_col: str, type_col: str, content_col: str) -> DataFrame:
+    """(pack, content): the bytes of each pack of blobs (id in hex, type, encoded bytes), in order. A pack is put together in one task, as large as a pack may be."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(id_col).alias("i"), F.col(type_col).alias("t"), F.col(content_col).cast("binary").alias("c"))))
+    own = blobs.groupBy(F.col(pack_col).cast("string").alias("pack")).agg(parts.alias("p")).select("pack", "p.i", "p.t", "p.c")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packs = [build_pack([(bytes.fromhex(i), t, c) for i, t, c in zip(*x)]) for x in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packs, pa.binary())], names=["pack", "content"])
+
+    return own.mapInArrow(run, "pack string, content binary")
+
+
 def read_header(pack: bytes) -> list[tuple[bytes, str, int, int]]:
     """(id, type, offset, length) of the blobs of a pack, without padding."""
     import zstandard

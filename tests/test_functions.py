@@ -96,3 +96,44 @@ def test_common_prefix_and_children(spark):
     assert got(True)["one"] == "/a/b/c"
     kids = spark.createDataFrame([("/a/b/c",), ("/a/d",), ("/a/b/c",), (None,)], "p string")
     assert {tuple(r) for r in P.children_counts(kids, "p").collect()} == {("/", 1), ("/a", 2), ("/a/b", 1)}
+
+
+def test_chunks_are_those_of_the_hash_byte_by_byte():
+    import random
+
+    from snapweave.operators import chunking as C
+
+    def slow(data, least, average, most):
+        bits = average.bit_length() - 1
+        strict, loose = C._mask(bits + C.LEVEL), C._mask(bits - C.LEVEL)
+        ends, start = [], 0
+        while len(data) - start > least:
+            h, at = 0, start + least
+            stop, middle = min(len(data), start + most), min(len(data), start + average)
+            while at < stop:
+                mask = loose if at >= middle else strict
+                h = (h * 2 + C.GEAR[data[at]]) % (1 << 64)
+                at += 1
+                if h & mask == 0:
+                    break
+            ends.append(at)
+            start = at
+        return ends + [len(data)] if start < len(data) or not ends else ends
+
+    rng = random.Random(2)
+    for n in (0, 1, 63, 64, 65, 300, 5000, 40_000):
+        for kind in (256, 3, 1):
+            data = bytes(rng.randrange(kind) for _ in range(n))
+            for sizes in ((64, 256, 1024), (1, 2, 4), (16, 5000, 9000)):
+                assert C.cut_points(data, *sizes) == slow(data, *sizes)
+
+
+def test_positions_in_a_whole_order(spark):
+    from pyspark.sql import functions as F
+
+    from snapweave.operators.packing import ordered_positions
+
+    df = spark.createDataFrame([("b", 1), ("a", 2), (None, 3), ("a", 1), ("a", 1)], "k string, n int")
+    rows = sorted((r["position"], r["k"], r["n"]) for r in ordered_positions(df, [F.col("k"), F.col("n")]).collect())
+    assert rows == [(0, None, 3), (1, "a", 1), (2, "a", 1), (3, "a", 2), (4, "b", 1)]
+    assert ordered_positions(df.limit(0), [F.col("k")]).collect() == []

@@ -183,7 +183,14 @@ def test_store_round_trip(spark, tmp_path):
 
     third = store.amend(two["snapshot_id"], NOW, exclude=[str(src / "0")], tags=["short"])
     assert store.log().count() == 2 and store.restore(third).count() == 1
+    with pytest.raises(KeyError):
+        store.forget(spark.createDataFrame([("ab" * 32,)], "snapshot_id string"))
+    last = lambda known: retention.keep_last(known, 1)
+    plan = {r["snapshot_id"]: r["keep"] for r in store.forget_by([last], dry_run=True).collect()}
+    assert list(plan.values()).count(True) == 1 and store.snapshots().count() == len(plan)
+    before = store.unreferenced().count()
     store.forget(spark.createDataFrame([(one["snapshot_id"],)], "snapshot_id string"))
+    assert store.unreferenced().count() >= before
     before = store.table("blobs").count()
     assert {r["status"] for r in store.clean(tolerance=0.0, dry_run=True).collect()}
     store.clean(tolerance=0.0)
