@@ -105,7 +105,7 @@ def test_chunks_are_those_of_the_hash_byte_by_byte():
 
     def slow(data, least, average, most):
         bits = average.bit_length() - 1
-        strict, loose = C._mask(bits + C.LEVEL), C._mask(bits - C.LEVEL)
+        strict, loose = C._mask(bits + C.LEVEL), C._mask(max(1, bits - C.LEVEL))
         ends, start = [], 0
         while len(data) - start > least:
             h, at = 0, start + least
