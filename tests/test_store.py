@@ -90,7 +90,7 @@ def test_packs(spark):
     got = sorted((r["kind"], r["i"], r["pack"]) for r in packing.assign_packs(df, "kind", "i", "n", most=10).collect())
     assert got == [("d", 0, 0), ("d", 1, 0), ("d", 2, 0), ("d", 3, 1), ("d", 4, 2), ("d", 5, 2), ("t", 0, 0)]
     entries = spark.createDataFrame([(f"p{i}", f"b{i}{j}") for i in range(40) for j in range(5)] * 2, "pack_id string, blob_id string")
-    files = packing.merge_indexes(entries, most=20, range_bits=2).collect()
+    files = packing.merge_indexes(entries, most=20).collect()
     assert len(files) == 40 and all(r["n_blobs"] == 5 for r in files)
     by = {}
     for r in files:
