@@ -42,3 +42,23 @@ def test_nulls_one_version_and_empty(spark):
     assert run(spark, rows) == []
     assert run(spark, []) == []
     assert run(spark, [("g", "k", 0, 1, None, 1, ""), ("g", "k", 1, 1, None, 1, "")]) == []
+
+
+def test_both_ways_of_joining_versions_give_the_same(spark, monkeypatch):
+    """Versions are broadcast only if they are measured to be small; the way beyond the limit is taken here with a limit of nothing."""
+    from snapweave import session
+    from snapweave.plans.store_checks import p5_found
+
+    def found():
+        df = p5_found(spark, "/root/testdata/sf0.001")
+        return df._jdf.queryExecution().executedPlan().toString(), sorted(map(tuple, df.collect()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan, small = found()
+        assert "BroadcastHashJoin" in plan and small
+        monkeypatch.setattr(session, "BROADCAST_LIMIT", 0)
+        plan, large = found()
+        assert "BroadcastHashJoin" not in plan and large == small
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
