@@ -6,6 +6,9 @@ one exchange each; every level is written to the shared folder, so plans stay sh
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,6 +61,50 @@ def replace_children(children: DataFrame, tree_col: str, name_col: str, seq_col:
     return children.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def reachable_nodes(positions: DataFrame) -> DataFrame:
-    """(node) of the roots and everything below them, each once, from expanded positions."""
-    return positions.select("root").distinct().select(F.col("root").alias("node")).unionByName(positions.where("node is not null").select("node")).distinct()
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, frag) of all nodes reached from the entries of each fragment; rows come by fragment, links (kind 0) before entries (kind 1)."""
+    now, links, reached = None, {}, set()
+
+    def out() -> Iterator[pa.RecordBatch]:
+        rows = list(reached)
+        for at in range(0, len(rows), 8192):
+            part = rows[at : at + 8192]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([now] * len(part), pa.int64())], names=["node", "frag"])
+
+    for b in batches:
+        for frag, kind, parent, child in zip(*(b.column(i).to_pylist() for i in range(4))):
+            if frag != now:
+                yield from out()
+                now, links, reached = frag, {}, set()
+            if not kind:
+                links.setdefault(parent, []).append(child)
+                continue
+            todo = [parent]
+            while todo:
+                node = todo.pop()
+                if node not in reached:
+                    reached.add(node)
+                    todo += links.get(node, ())
+    yield from out()
+
+
+def reachable_nodes(links: DataFrame, roots: DataFrame, parent: str, child: str, locality: str, root: str, fragment_rows: int = 65_536) -> DataFrame:
+    """(node) of the roots and everything below them, each once. Keys are binary; nulls take no part; cycles do no harm.
+
+    Links lie in fragments by locality. In each round the fragments that have new entries are searched from them, each by
+    one task; what is reached enters the other fragments it has links in. A node is expanded once per fragment, however many
+    paths lead to it, and the rounds are the crossings from fragment to fragment on the longest path, not its steps."""
+    edges = links.where(F.col(parent).isNotNull() & F.col(child).isNotNull()).groupBy(F.col(parent).alias("parent"), F.col(child).alias("child")).agg(F.min(F.col(locality).cast("long")).alias("at"))
+    edges = written(edges.select(F.coalesce(F.floor(F.col("at") / F.lit(fragment_rows)).cast("long"), -1 - F.pmod(F.xxhash64("parent"), F.lit(1 << 20))).alias("frag"), F.lit(0).alias("kind"), "parent", "child"), "reach-links")
+    homes = written(edges.select(F.col("parent").alias("node"), "frag").distinct(), "reach-homes")
+    none = F.lit(None).cast("binary").alias("child")
+    nodes = written(roots.select(F.col(root).alias("node")).where("node is not null").distinct(), "reach-roots")
+    entries = written(nodes.join(homes, "node").select("node", "frag"), "reach-entries")
+    seen: DataFrame | None = None  # (node, frag): reached and expanded there
+    while not entries.isEmpty():
+        rows = edges.join(entries.select("frag").distinct(), "frag", "left_semi").unionByName(entries.select("frag", F.lit(1).alias("kind"), F.col("node").alias("parent"), none))
+        got = rows.repartition("frag").sortWithinPartitions("frag", "kind").select("frag", "kind", "parent", "child").mapInArrow(_spread, "node binary, frag long")
+        got = written(got if seen is None else got.join(seen, ["node", "frag"], "left_anti"), "reached")
+        seen = got if seen is None else seen.unionByName(got)
+        entries = written(got.select("node").distinct().join(homes, "node").join(seen, ["node", "frag"], "left_anti").select("node", "frag"), "reach-entries")
+    return nodes if seen is None else nodes.unionByName(seen.select("node")).distinct()

@@ -13,8 +13,7 @@ from snapweave.functions import paths as P
 from snapweave.functions import scalars as S
 from snapweave.functions.ids import id_key, id_text
 from snapweave.operators import chunking, dedup, diff, gc, packing, retention, tree
-from snapweave.operators.hierarchy import expand_hierarchy
-from snapweave.session import read_table
+from snapweave.session import read_table, written
 from snapweave.sources import packfile
 from snapweave.views import with_views
 
@@ -491,7 +490,7 @@ def reachable_blobs(spark, d):
     nodes = read_table(spark, d, "tree_nodes")
     links = nodes.where("node_type = 'directory'").select(id_key("tree_id").alias("parent"), "name", id_key("tree").alias("child"), "node_id")
     roots = read_table(spark, d, "snapshots").select(id_key("tree").alias("root")).where("root is not null").distinct()
-    trees = tree.reachable_nodes(expand_hierarchy(links, roots, "parent", "name", "child", "node_id", "root")).unionByName(roots.select(F.col("root").alias("node"))).distinct()
+    trees = written(tree.reachable_nodes(links, roots, "parent", "child", "node_id", "root"), "trees")
     listed = nodes.select(id_key("tree_id").alias("node"), "blobs").join(trees, "node", "left_semi").select(F.explode("blobs").alias("b")).select(id_key("b").alias("node"))
     return trees.unionByName(listed).distinct().select(id_text("node").alias("blob_id"))
 

@@ -70,3 +70,25 @@ def test_descendants(spark):
     links = spark.createDataFrame([(b"a", "x", b"b", 1), (b"b", "y", b"c", 2)], "p binary, n string, c binary, at long")
     pos = H.expand_hierarchy(links, spark.createDataFrame([(b"a",)], "r binary"), "p", "n", "c", "at", "r")
     assert sorted((bytes(r["node"]).decode(), r["depth_below"]) for r in H.descendants(pos).collect()) == [("b", 1), ("c", 1), ("c", 2)]
+
+
+@pytest.mark.parametrize("rows", [3, 100_000])
+def test_reachable_nodes(spark, rows):
+    from snapweave.operators.tree import reachable_nodes
+
+    rng = random.Random(6)
+    links = [(f"n{rng.randint(0, 40)}", f"n{rng.randint(0, 60)}", rng.choice([None, *range(40)])) for _ in range(45)] + [(f"c{i}", f"c{i + 1}", i) for i in range(25)] + [("c9", "c2", 9), (None, "x", 1), ("n1", None, 1)]
+    roots = ["n1", "n5", "c3", "alone", None]
+    below = {}
+    for p, c, _ in links:
+        below.setdefault(p, []).append(c)
+    want, todo = set(), [r for r in roots if r]
+    while todo:
+        x = todo.pop()
+        if x not in want:
+            want.add(x)
+            todo += [c for c in below.get(x, ()) if c]
+    k = lambda x: None if x is None else x.encode()
+    df = spark.createDataFrame([(k(p), k(c), at, "x") for p, c, at in links], "p binary, c binary, at long, node string")
+    got = reachable_nodes(df, spark.createDataFrame([(k(r),) for r in roots], "r binary"), "p", "c", "at", "r", fragment_rows=rows).collect()
+    assert sorted(bytes(r["node"]).decode() for r in got) == sorted(want)
