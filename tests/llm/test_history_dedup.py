@@ -77,7 +77,7 @@ def spark_result(spark, rows, live, together=1, **how):
     return {r["rec_id"]: bytes(r["kept"]).decode() for r in out if r["reason"]}
 
 
-def test_batches_against_brute_force(spark):
+def test_batches_against_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     base = [[rng.choice("bcdfgklmnprst") + str(rng.randint(0, 400)) for _ in range(60)] for _ in range(8)]
     rows, rec = [], 0
@@ -91,12 +91,12 @@ def test_batches_against_brute_force(spark):
             rows.append((rec, batch, rng.choice([f"i{rec}", f"i{rec}", f"i{rng.randint(1, rec)}"]), rng.choice([text, text.upper(), text, None, "", "  ..."]) if rng.random() < 0.4 else text))
     rows += rows[::5]
     live = {"i3", "i20"}
-    want, got = brute(rows, live), spark_result(spark, rows, live)
+    # neither the grouping of batches, nor the number of heads compared first, nor the way of joining changes what is kept
+    want, got = brute(rows, live), spark_result(spark, rows, live, heads=1)
     assert got.keys() == want.keys() and len(want) > 10
     assert got == want
-    # neither the grouping of batches nor the number of heads compared first changes what is kept
+    monkeypatch.setattr(H, "BROADCAST_LIMIT", 0)
     assert spark_result(spark, rows, live, together=3) == want
-    assert spark_result(spark, rows, live, together=2, heads=1) == want
 
 
 def test_a_bucket_of_near_copies_and_an_empty_batch(spark):
@@ -155,18 +155,18 @@ def test_cost_follows_the_batch(spark, monkeypatch):
 def test_runs_are_merged(spark, monkeypatch):
     monkeypatch.setattr(H, "FANOUT", 2)
     rng = random.Random(10)
-    rows = [r for b in range(6) for r in random_rows(rng, 12, b, 100 * b)] + [(999, 6, "x", None)]
-    rows += [(1000 + b, 7, f"n{b}", next(r[3] for r in rows if r[1] == b) + " tail") for b in range(6)]
+    rows = [r for b in range(3) for r in random_rows(rng, 12, b, 100 * b)]
+    rows += [(1000 + b, 3, f"n{b}", next(r[3] for r in rows if r[1] == b) + " tail") for b in range(3)]
     signed, history = signed_rows(spark, rows), H.History(spark)
     out = []
-    for n in range(8):
+    for n in range(4):
         batch = signed.where(F.col("batch_no") == n).drop("batch_no")
         if n:
             out += history.add_batch(batch).collect()
         else:
             history.accept(batch)
-    assert {r["rec_id"]: bytes(r["kept"]).decode() for r in out if r["reason"]} == {1000 + b: f"i{100 * b}" for b in range(6)}
-    assert all(len(r) < 6 for r in history.runs.values())
+    assert {r["rec_id"]: bytes(r["kept"]).decode() for r in out if r["reason"]} == {1000 + b: f"i{100 * b}" for b in range(3)}
+    assert len(history.runs[H.KEYS]) == 2 and len(history.runs[H.IDS]) < 4  # 3 and 4 without merges
 
 
 def test_large_groups_are_not_paired_out(spark, monkeypatch):
